@@ -166,7 +166,7 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | N
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit (words inside any occurrence of an item's window),
+    """One row per document: doc_id, text_key (a hash of the text), n_words, n_hit (words inside any occurrence of an item's window),
     spans (their runs), items (names of items with occurring windows), contaminated.
 
     Training texts are winnowed where they lie and their fingerprints joined with the benchmark's, which
@@ -185,7 +185,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
             F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("times"),
         ).withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times")))).drop("times")
-    found = found.drop("text_key")
     counted = found.withColumn("n_hit", F.when(F.size("spans") == 0, F.lit(0).cast("long")).otherwise(_covered("spans")))
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+    """The documents that are not contaminated, all rows and columns of them."""
+    bad = overlaps(docs, benchmark, window, gram, block).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__key"]), "left_anti")
