@@ -66,6 +66,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc32_of(column: Column) -> Column:
     """CRC-32 of a value written as text, as unsigned long."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from weftline.llm.common import crc32_of
+from weftline.llm.common import crc32_of, fresh
 
 #: Lengths of the character n-grams and the number of hash buckets they share.
 GRAMS = (1, 2, 3)
@@ -147,8 +147,8 @@ def train(labelled: DataFrame, most: int = TRAIN_ROWS, most_langs: int = MOST_LA
     return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """Rows with a text -> their columns `keep`, lang_pred and score. The matrix is broadcast; a task sums its rows over
+def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Rows with a text -> their columns `keep`, and those called `to`: language and score. The matrix is broadcast; a task sums its rows over
     each text's n-grams. score is the posterior of the predicted language. Null texts, texts without a
     letter, and all texts under a model without languages give UNKNOWN and 0."""
     spark = docs.sparkSession
@@ -173,9 +173,9 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[s
             none = (seen == 0) | (len(langs) == 0)
             best[none], score[none] = len(langs), 0.0
             cols = {c: batch.column(c) for c in keep}
-            yield pa.RecordBatch.from_pydict(cols | {"lang_pred": pa.array(names[best], pa.string()), "score": score})
+            yield pa.RecordBatch.from_pydict(cols | {to[0]: pa.array(names[best], pa.string()), to[1]: score})
 
-    schema = StructType([*[docs.schema[c] for c in keep], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*[docs.schema[c] for c in keep], StructField(to[0], StringType()), StructField(to[1], DoubleType())])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
@@ -191,5 +191,6 @@ def fitted(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], np.ndarr
 def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is told: rejected are those without a letter and those whose
     posterior is below min_score. Columns stay as they are."""
-    kept = predicted(docs, fitted(docs), docs.columns).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    kept = predicted(docs, fitted(docs), docs.columns, (lang, score)).filter((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score))
     return kept.select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from weftline.llm.common import Scratch, dense_forest
+from weftline.llm.common import Scratch, dense_forest, fresh
 from weftline.llm.components import components
 
 WORDS = 3
@@ -209,9 +209,10 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: st
     """The rows whose id is their component's smallest; of rows with equal ids and texts one stays.
     Rows without an id stay only where no row of their component has one."""
     groups = simhash_groups(docs, scratch, id_col, text)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    nameless = docs.filter(F.col(id_col).isNull())
-    out = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])
-    lonely = groups.filter(F.col("component_id").isNull()).select("fp").distinct()
-    extra = with_fingerprint(nameless, text, "__fp").join(lonely, F.col("__fp") == lonely["fp"], "left_semi").dropDuplicates(["__fp"]).drop("__fp")
+    mark, own = fresh(docs, "__kept"), fresh(docs, "__fp")
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(mark)).distinct()
+    out = docs.join(kept, docs[id_col] == kept[mark], "left_semi").dropDuplicates([id_col])
+    lonely = groups.filter(F.col("component_id").isNull()).select(F.col("fp").alias(mark)).distinct()
+    nameless = with_fingerprint(docs.filter(docs[id_col].isNull()), text, own)
+    extra = nameless.join(lonely, nameless[own] == lonely[mark], "left_semi").dropDuplicates([own]).drop(own)
     return out.unionByName(extra)
