@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from weftline.llm.common import U64, Rolling, Scratch, release, sliding_min, utf8
+from weftline.llm.common import U64, Rolling, Scratch, fresh, release, sliding_min, utf8
 
 LENGTH = 200
 #: Bytes of an anchor; each LENGTH-byte string holds one, the smallest hash among its ANCHOR-byte strings.
@@ -236,24 +236,31 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, anc
     as a whole."""
     spark = scratch.spark
     found = scratch.keep(texts.select("tid", "body").mapInArrow(_anchors(length, anchor), "h long, tid long, pos long"), "anchors")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    often = scratch.keep(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "often")
     shared = scratch.keep(found.join(often, "h").select("h", "n", "tid", "pos"), "shared")
     release(spark)
-    scratch.drop("anchors")
+    scratch.drop("anchors", "often")
 
     side = length - anchor
     size = F.octet_length("body")
-    around = texts.select("tid", "body").join(shared, "tid")
+    # one pass over the texts: the bytes around each anchor, or each string with a frequent one (start >= 0)
+    low, high = F.greatest(F.col("pos") - side, F.lit(0)), F.least(F.col("pos"), size - length)
+    starts = F.when(F.col("n") <= meet, F.array(F.lit(-1).cast("long"))).when(low <= high, F.sequence(low, high))
+    around = texts.select("tid", "body").join(shared, "tid").withColumn("start", F.explode(starts))
     before = F.least("pos", F.lit(side)).cast("int")
-    near = around.filter(F.col("n") <= meet).select("h", "tid", "pos", before.alias("before"), F.expr(f"substring(body, cast(pos - least(pos, {side}) + 1 as int), cast(least(pos, {side}) + {length} as int))").alias("context"))
-    near = scratch.keep(near.repartition("h").sortWithinPartitions("h").mapInArrow(_meet(length), "tid long, start long, stop long"), "near")
+    context = F.expr(f"substring(body, cast(pos - least(pos, {side}) + 1 as int), cast(least(pos, {side}) + {length} as int))")
+    string = F.expr(f"unhex(md5(substring(body, cast(start + 1 as int), {length})))")
+    bytes_ = F.when(F.col("start") < 0, context).otherwise(string)
+    around = scratch.keep(around.select("h", "tid", "pos", "start", before.alias("before"), bytes_.alias("context")), "around")
     release(spark)
-
-    starts = F.sequence(F.greatest(F.col("pos") - side, F.lit(0)), F.least(F.col("pos"), size - length))
-    strings = around.filter((F.col("n") > meet) & (size >= length) & (F.least(F.col("pos"), size - length) >= F.greatest(F.col("pos") - side, F.lit(0)))).select("tid", "body", F.explode(starts).alias("start"))
-    strings = strings.select("tid", "start", F.expr(f"unhex(md5(substring(body, cast(start + 1 as int), {length})))").alias("digest")).distinct()
-    strings = scratch.keep(strings, "strings")
-    twice = strings.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    scratch.drop("shared")
+    near = around.filter("start < 0").select("h", "tid", "pos", "before", "context")
+    near = near.repartition("h").sortWithinPartitions("h").mapInArrow(_meet(length), "tid long, start long, stop long")
+    near = scratch.keep(near, "near")
+    strings = scratch.keep(around.filter("start >= 0").select("tid", "start", F.col("context").alias("digest")).distinct(), "strings")
+    release(spark)
+    scratch.drop("around")
+    twice = scratch.keep(strings.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
     far = strings.join(twice, "digest").select("tid", "start", (F.col("start") + length).alias("stop"))
     whole = texts.filter((F.col("times") > 1) & (size >= length)).select("tid", F.lit(0).cast("long").alias("start"), size.cast("long").alias("stop"))
     return near.union(far).union(whole)
@@ -314,7 +321,8 @@ def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
 def without_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, anchor: int = ANCHOR, meet: int = MEET) -> DataFrame:
     """The documents with their repeated bytes cut from text; a character that is repeated in part stays
     whole. All rows and other columns stay, in the same order of columns."""
-    found = repeated_bytes(docs, scratch, length, anchor, meet).filter("n_removed > 0").select("sha", "runs").distinct()
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    cut = keyed.join(found.withColumnRenamed("sha", "__sha").withColumnRenamed("runs", "__runs"), "__sha", "left")
-    return cut.withColumn("text", _without("text", "__runs")).select(*docs.columns)
+    sha, other, runs = fresh(docs, "__sha"), fresh(docs, "__other"), fresh(docs, "__runs")
+    found = repeated_bytes(docs, scratch, length, anchor, meet).filter("n_removed > 0").select(F.col("sha").alias(other), F.col("runs").alias(runs)).distinct()
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    cut = keyed.join(found, F.col(sha) == F.col(other), "left")
+    return cut.withColumn("text", _without("text", runs)).select(*docs.columns)
