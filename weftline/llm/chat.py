@@ -41,27 +41,26 @@ def paths(nodes: DataFrame, scratch: Scratch, most_rounds: int = 40) -> DataFram
     each leaf's path, depth counted from the leaf.
 
     Self-joins that double their reach: after round k each node points 2^k ancestors up, and each leaf's
-    path has its 2^k lowest nodes, to which the join adds the ancestors of those. The rounds are the
-    logarithm of the deepest path, and no row is held but the pointers and the paths themselves. A
-    parent that does not exist ends the path; cycles are refused."""
+    path has its 2^k lowest nodes, to which the join adds the ancestors of those. A pointer past the root
+    is dropped, so the rounds, whose number is the logarithm of the deepest path, only carry the deeper
+    trees on. A parent that does not exist ends the path; cycles are refused."""
     known = nodes.select("conv_id", "node").distinct()
-    up = nodes.select("conv_id", "node", "parent").distinct()
+    up = nodes.filter("parent is not null").select("conv_id", "node", "parent").distinct()
     real = known.withColumnsRenamed({"conv_id": "c", "node": "n"})
-    up = scratch.keep(up.join(real, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("n")), "left").select("conv_id", "node", F.col("n").alias("up")), "up-0")
-    answered = up.filter("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("n")).distinct()
+    up = scratch.keep(up.join(real, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("n"))).select("conv_id", "node", F.col("n").alias("up")), "up-0")
+    answered = up.select(F.col("conv_id").alias("c"), F.col("up").alias("n")).distinct()
     leaves = known.join(answered, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left_anti")
     lines = scratch.keep(leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth")), "lines-0")
     reach = 1
     for k in range(1, most_rounds + 1):
-        jump = up.filter("up is not null").select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
-        if jump.isEmpty():
+        if up.isEmpty():
             return lines
-        match = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))
-        more = lines.join(jump, match).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("depth") + reach).alias("depth"))
+        jump = up.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("to"))
+        more = lines.join(jump, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")))
+        more = more.select("conv_id", "leaf", F.col("to").alias("node"), (F.col("depth") + reach).alias("depth"))
         lines = scratch.keep(lines.unionByName(more), f"lines-{k}")
-        far = jump.select("c", "n", F.col("up").alias("to"))
-        there = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n"))
-        up = scratch.keep(up.join(far, there, "left").select("conv_id", "node", F.col("to").alias("up")), f"up-{k}")
+        far = up.join(jump, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")))
+        up = scratch.keep(far.select("conv_id", "node", F.col("to").alias("up")), f"up-{k}")
         scratch.drop(f"lines-{k - 1}", f"up-{k - 1}")
         reach *= 2
     raise ValueError(f"a path of over 2^{most_rounds} nodes: the parents form a cycle")
