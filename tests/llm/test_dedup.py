@@ -131,6 +131,7 @@ def repeating_texts(seed):
         parts = [r.choice(passage) if r.random() < 0.6 else "".join(r.choice(letters) for _ in range(r.randint(1, 60))) for _ in range(r.randint(0, 8))]
         rows.append((i, "".join(parts)))
     rows += [(60, rows[3][1]), (60, rows[3][1]), (61, None), (62, ""), (63, "z" * 300), (64, "ab" * 150), (65, "q" + "z" * 120), (None, passage[0])]
+    rows += [(70, passage[1] + "abcde" * 30 + passage[2]), (71, "cdeab" * 9), (72, "x" + "cdeab" * 8 + "cd"), (73, passage[3] + "deabc" * 20), (74, "abcde" * 7 + passage[2]), (75, ("abcde" * 12 + "y") * 3)]
     return rows
 
 

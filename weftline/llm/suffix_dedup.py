@@ -18,8 +18,8 @@ from weftline.llm.common import U64, Rolling, Scratch, fresh, release, sliding_m
 LENGTH = 200
 #: Bytes of an anchor; each LENGTH-byte string holds one, the smallest hash among its ANCHOR-byte strings.
 ANCHOR = 40
-#: Occurrences of an anchor that meet in one suffix array; those of a more frequent anchor are compared
-#: by digests of whole LENGTH-byte strings, in a plain aggregation.
+#: Occurrences of an anchor that meet in one suffix array, at about 600 bytes each; those of a more frequent
+#: anchor are compared by digests of whole LENGTH-byte strings, in a plain aggregation.
 MEET = 20_000
 _PIECE = 1 << 20
 
@@ -118,24 +118,53 @@ class Anchors:
         self.values = mixed_bytes()
         self.rolling = Rolling(2 * _PIECE)
 
-    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, text number, position in the text); texts are read in overlapping pieces."""
-        out = []
-        n = len(data)
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, int]]]:
+        """(hash, text number, position in the text) of the anchors, and (text number, start, stop) of periodic
+        runs; texts are read in overlapping pieces.
+
+        In a run of a short period each string starts again one period later, so the run is covered as it
+        is, and only the strings of its first period are looked at further: all others are equal to one
+        of those. Else such runs would have an anchor in every period."""
+        out, runs = [], []
+        n, low = len(data), U64((1 << 24) - 1)
         for at in range(0, max(1, n - self.length + 1), _PIECE):
             piece = data[at : at + _PIECE + self.length - 1]
             sums = self.rolling.prefix(self.values[piece])
             found = self.rolling.windows(sums, self.anchor)
-            low = U64((1 << 24) - 1)
             key = (found & ~low) | np.arange(len(found), dtype=U64)
-            least = sliding_min(key, self.length - self.anchor + 1)
+            least = (sliding_min(key, self.length - self.anchor + 1) & low).astype(np.int64)
             start = at + np.arange(len(least))
             text = np.searchsorted(offsets, start, "right") - 1
-            chosen = (least & low)[start + self.length <= offsets[text + 1]].astype(np.int64)
-            chosen = chosen[np.flatnonzero(np.diff(chosen, prepend=-1))]
+            fine = start + self.length <= offsets[text + 1]
+            chosen = _distinct(least[fine])
+            gaps = np.diff(chosen)
+            for period in np.unique(gaps[(found[chosen[1:]] == found[chosen[:-1]]) & (gaps < self.length)]).tolist():
+                for a, b in self._periodic(piece, offsets - at, period):
+                    fine[a + period : b - self.length + period + 1] = False
+                    i = int(np.searchsorted(offsets, at + a, "right")) - 1
+                    runs.append((i, at + a - int(offsets[i]), at + b + period - int(offsets[i])))
+            chosen = _distinct(least[fine])
             text = np.searchsorted(offsets, at + chosen, "right") - 1
             out.append((found[chosen].view(np.int64), text, at + chosen - offsets[text]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)), runs
+
+    def _periodic(self, piece: np.ndarray, starts: np.ndarray, period: int) -> list[tuple[int, int]]:
+        """Ranges [a, b) of at least length bytes that are equal to those one period later in the same text."""
+        same = piece[:-period] == piece[period:]
+        edge = np.zeros(len(piece) + 1, np.int32)  # texts that start within the period
+        inner = starts[(starts > 0) & (starts < len(piece))]
+        np.add.at(edge, np.maximum(inner - period, 0), 1)
+        np.add.at(edge, inner, -1)
+        same &= np.cumsum(edge)[: len(same)] == 0
+        turn = np.diff(same.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+        a, b = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        long = b - a >= self.length
+        return list(zip(a[long].tolist(), b[long].tolist(), strict=True))
+
+
+def _distinct(positions: np.ndarray) -> np.ndarray:
+    """Of ascending positions, each once."""
+    return positions[np.flatnonzero(np.diff(positions, prepend=-1))]
 
 
 def mixed_bytes() -> np.ndarray:
@@ -152,11 +181,15 @@ def _anchors(length: int, anchor: int):
             ids = batch.column("tid").to_numpy()
             offsets, data = utf8(batch.column("body"))
             for i, j in slices(offsets, _PIECE):
-                h, text, pos = find.of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                (h, text, pos), runs = find.of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 keep = np.ones(len(h), bool)
                 if len(h) > 1:  # pieces of one text overlap and may choose a position twice
                     keep[1:] = (np.diff(text) != 0) | (np.diff(pos) > 0)
-                yield pa.record_batch({"h": h[keep], "tid": ids[i:j][text[keep]], "pos": pos[keep]})
+                n = int(keep.sum())
+                yield pa.record_batch({"h": h[keep], "tid": ids[i:j][text[keep]], "pos": pos[keep], "stop": np.full(n, -1)})
+                if runs:
+                    text, first, stop = (np.array(x, np.int64) for x in zip(*runs, strict=True))
+                    yield pa.record_batch({"h": np.zeros(len(runs), np.int64), "tid": ids[i:j][text], "pos": first, "stop": stop})
 
     return run
 
@@ -232,14 +265,16 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, anc
     strings of so many bytes that also start anywhere else; spans of one text may overlap.
 
     Anchors of all texts are counted; those that occur twice or more bring the bytes around them to
-    one place, where extents() finds every repeat that holds them. A text that has several rows repeats
-    as a whole."""
+    one place, where extents() finds every repeat that holds them. Periodic runs, and texts that have
+    several rows, repeat as a whole."""
     spark = scratch.spark
-    found = scratch.keep(texts.select("tid", "body").mapInArrow(_anchors(length, anchor), "h long, tid long, pos long"), "anchors")
+    kept = scratch.keep(texts.select("tid", "body").mapInArrow(_anchors(length, anchor), "h long, tid long, pos long, stop long"), "anchors")
+    runs = kept.filter("stop >= 0").select("tid", F.col("pos").alias("start"), "stop")
+    found = kept.filter("stop < 0").drop("stop")
     often = scratch.keep(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "often")
     shared = scratch.keep(found.join(often, "h").select("h", "n", "tid", "pos"), "shared")
     release(spark)
-    scratch.drop("anchors", "often")
+    scratch.drop("often")
 
     side = length - anchor
     size = F.octet_length("body")
@@ -263,7 +298,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, anc
     twice = scratch.keep(strings.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
     far = strings.join(twice, "digest").select("tid", "start", (F.col("start") + length).alias("stop"))
     whole = texts.filter((F.col("times") > 1) & (size >= length)).select("tid", F.lit(0).cast("long").alias("start"), size.cast("long").alias("stop"))
-    return near.union(far).union(whole)
+    return near.union(far).union(whole).union(runs)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
