@@ -43,7 +43,10 @@ def partial_ratio(a: str, b: str) -> float:
     if not short:
         return 1.0 if not long else 0.0
     n = len(short)
-    return max(ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+    best = max(ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+    if n == len(long):  # either may be the window
+        best = max(best, *(ratio(long, short[max(0, i) : i + n]) for i in range(1 - n, n)))
+    return best
 
 
 def _sorted(text: str) -> str:

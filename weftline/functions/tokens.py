@@ -72,7 +72,12 @@ def weighted_address_keywords(value: Column) -> Column:
     x = F.regexp_replace(x, r"[层楼室栋座幢]\d*.*$", "")
     kinds = [("([^省]*?市)", "市", 3), ("([^市]*?区)", "区", 3), ("([^市]*?县)", "县", 3), ("([^区县]*?镇)", "镇", 3), ("([^区县]*?街道)", "街道", 4)]
     kinds += [(f"([^区县镇]*?{end})", end, 2 + len(end)) for end in ("大道", "路", "街", "巷", "弄")]
-    entries = [F.transform(F.filter(F.regexp_extract_all(x, F.lit(p), 1), lambda k, n=n: F.length(k) >= n), lambda k, e=end: F.struct(k.alias("key"), F.lit(ADDRESS_WEIGHTS[e]).alias("value"))) for p, end, n in kinds]
+
+    def found(pattern: str, end: str, least: int) -> Column:
+        long = F.filter(F.regexp_extract_all(x, F.lit(pattern), 1), lambda k: F.length(k) >= least)
+        return F.transform(long, lambda k: F.struct(k.alias("key"), F.lit(ADDRESS_WEIGHTS[end]).alias("value")))
+
+    entries = [found(*kind) for kind in kinds]
     every = F.concat(*entries)
     keys = F.array_distinct(F.transform(every, lambda e: e["key"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_max(F.transform(F.filter(every, lambda e: e["key"] == k), lambda e: e["value"]))))

@@ -87,6 +87,8 @@ def read_csv(spark: SparkSession, path: str, strings_only: bool = False, encodin
     encoding = encoding or detect_encoding(data)
     delimiter = delimiter or detect_delimiter(data.decode(encoding, "ignore"))
     java = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gbk": "GBK", "gb18030": "GB18030", "big5": "Big5", "latin-1": "ISO-8859-1"}[encoding]
+    if java in ("GBK", "GB18030", "Big5"):  # Spark reads these only under this setting
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     rows = spark.read.option("header", True).option("encoding", java).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", True).option("nullValue", "\x00").option("emptyValue", "").csv(path)
     rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
     return rows if strings_only else typed(nulled(rows))
