@@ -38,11 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """From now on, rows of the session travel to Python workers in batches of about so many bytes, so that neither
+    side holds thousands of long texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 class Scratch:
     """Tables of one run in the shared folder. keep() writes a table and returns it reread, which cuts
     the lineage and outlives lost executors; drop() removes one that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from weftline.llm.common import U64, Rolling, sliding_min, slices, utf8
+from weftline.llm.common import U64, Rolling, bounded_batches, sliding_min, slices, utf8
 
 WINDOW = 13
 #: Words in a fingerprinted k-gram; each WINDOW - GRAM + 1 consecutive k-grams give their smallest hash.
 GRAM = 8
 #: UTF-8 bytes of benchmark texts that are sent to the executors at once; a larger benchmark goes in blocks.
 BLOCK = 16 << 20
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 #: Word bytes to themselves (A-Z lowered), all others to a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -174,6 +174,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
     no shuffle of the texts); hits are extended word by word and compared as words, not as hashes.
     Null and blank texts have no words; items without words match nothing; a null item_id counts under
     the empty name; repeated rows are judged each."""
+    bounded_batches(docs.sparkSession)
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n_words long, spans array<array<long>>, items array<string>"
     parts = [source.mapInArrow(_scan(Index(items, window, gram)), schema) for items in _blocks(benchmark, block)]

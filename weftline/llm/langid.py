@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from weftline.llm.common import crc32_of, fresh
+from weftline.llm.common import bounded_batches, crc32_of, fresh
 
 #: Lengths of the character n-grams and the number of hash buckets they share.
 GRAMS = (1, 2, 3)
@@ -132,6 +132,7 @@ def train(labelled: DataFrame, most: int = TRAIN_ROWS, most_langs: int = MOST_LA
     A language of more than `most` rows is sampled by the hash of the key, to about that many: the bound
     of the sample. More than most_langs languages are refused, as the matrix is broadcast; so what is
     collected is bounded too. Languages have equal prior weight."""
+    bounded_batches(labelled.sparkSession)
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
     if len(sizes) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
@@ -152,6 +153,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[s
     each text's n-grams. score is the posterior of the predicted language. Null texts, texts without a
     letter, and all texts under a model without languages give UNKNOWN and 0."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     langs, table = model
     shared = spark.sparkContext.broadcast(table)
 

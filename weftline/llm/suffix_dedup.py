@@ -21,7 +21,7 @@ ANCHOR = 40
 #: Occurrences of an anchor that meet in one suffix array, at about 600 bytes each; those of a more frequent
 #: anchor are compared by digests of whole LENGTH-byte strings, in a plain aggregation.
 MEET = 20_000
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 def _common(a: bytes, b: bytes) -> int:
