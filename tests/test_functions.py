@@ -121,6 +121,23 @@ def test_name_parts():
     assert names.core_similarity("宏达", "宏达电子") == 1 and names.core_similarity("宏达", "") == 0
 
 
+def test_conflicts_and_blends():
+    from weftline.functions import conflicts as C
+
+    assert C.conflict("上海为民食品", "上海惠民食品") == 0.95 and C.conflict("小米之家", "联想之家") == 0.98 and C.conflict("a宏达b", "a弘达b") == 0.90
+    assert C.conflict("永兴隆", "永兴盛") == 0.0 and C.conflict("天天永兴隆", "天天永兴盛") == 0.85 and C.conflict("x", "x") == 0.0
+    assert C.core_name("上海市虹口区宏达（有限）科技有限公司") == "宏达"
+    assert C.blended("上海宏达有限公司", "上海市宏达有限公司") == pytest.approx(1.0) and 0 <= C.blended("a", "b") <= 1
+    assert address.coarse_similarity("上海市虹口区天宝路8号", "上海市虹口区天宝路8号") == 1
+    assert address.coarse_similarity("上海市虹口区天宝路8号", "上海市虹口区天宝路9号") < 0.5
+    assert address.precise("天宝路8号", "天宝路40号") and not address.precise("天宝路8号", "天宝路80号") and not address.precise("天宝路8号", "四平街8号")
+
+
+def test_unusual_addresses(spark):
+    assert apply(spark, N.completed_address, [("上天宝路8号",), ("上海天宝路8",)]) == ["上海市天宝路8号", "上海市天宝路8号"]
+    assert apply(spark, N.building_address, [("天宝路8弄2号301室（北门）",)]) == ["天宝路8弄2号301号"]
+
+
 def test_weights_are_renormalised(spark):
     parts = lambda a, b: V.weighted_mean([(F.lit(1.0), a.isNotNull(), 0.4), (F.lit(0.5), b.isNotNull(), 0.6)])
     assert apply(spark, parts, [("x", "y"), ("x", None), (None, "y"), (None, None)]) == pytest.approx([0.7, 1.0, 0.5, 0.0])

@@ -157,3 +157,57 @@ def test_windows_on_a_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.n, r.total) for r in spark.sql("SELECT * FROM windows").collect()] == [(2, 3.0)]
+
+
+def test_other_joins(spark):
+    from weftline.operators import blocking
+
+    src, tgt = registries(spark)
+    found = {(r.src, r.tgt): r.score for r in linkage.simple_pairs(src, tgt, [("s_name", "t_name")]).collect()}
+    assert found == {(1, 11): 0.7, (1, 12): 0.7}
+    tables = linkage.per_table(src, {"a": tgt, "b": tgt}, lambda s, t: linkage.simple_pairs(s, t, [("s_name", "t_name")]).drop("rank"), keep=1)
+    assert {(r.src, r.tgt, r.target_table) for r in tables.collect()} == {(1, 11, "a"), (1, 11, "b")}
+    one, two = (spark.createDataFrame(rows, "src int, tgt int, score double") for rows in ([(1, 11, 1.0)], [(1, 12, 0.5), (2, 13, 0.5)]))
+    assert {(r.src, r.tgt, r.step) for r in blocking.cascade(src, ("x", one), ("y", two)).collect()} == {(1, 11, "x"), (2, 13, "y")}
+    assert {(r.src, r.tgt) for r in blocking.candidate_union(one, two).collect()} == {(1, 11), (1, 12), (2, 13)}
+    lifted = {r.tgt: r.score for r in linkage.boosted_by_shared(spark.createDataFrame([(1, 11, 0.8), (1, 12, 0.6), (1, 13, 0.9)], "src int, tgt int, score double"), two.union(one).unionByName(spark.createDataFrame([(1, 11, 0.0)], "src int, tgt int, score double"))).collect()}
+    assert lifted == {11: 0.98, 12: 0.6, 13: 0.9}
+    assert linkage.details(one, src, tgt).first().t_name == "宏达电子"
+    assert linkage.slice_name_scores(spark.createDataFrame([("ab", "ab")], "s_name string, t_name string")).first().score == 1.0
+
+
+def test_rules(spark):
+    from weftline.operators import scoring
+
+    df = spark.createDataFrame([("爱心养老院", "爱心护理院"), ("a集团", "a分公司")], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    assert [r[0] for r in df.select(scoring.synonym_threshold(a, b)).collect()] == [0.15, 0.25]
+    assert [r[0] for r in df.select(scoring.conflicting_words(a, b, (("集团", "分公司"),))).collect()] == [False, True]
+    assert [r[0] for r in df.select(scoring.precheck(a, b)).collect()] == [True, False]
+    bands = spark.createDataFrame([(0.97, 3), (0.85, 2), (0.75, 1), (0.65, 1), (0.1, 0)], "s double, n int")
+    assert [r[0] for r in bands.select(scoring.match_kind(F.col("s"), F.col("n"))).collect()] == ["exact_match", "strong_match", "good_match", "weak_match", "poor_match"]
+    assert [r[0] for r in bands.select(scoring.decision(F.col("s"))).collect()] == ["accept", "accept", "suspect", "suspect", "reject"]
+    assert scoring.merged_thresholds([{"high": 0.8}, {}])["high"] == pytest.approx(0.85)
+    flags = df.select(scoring.consistency({"name": (a, b), "address": (a, b)}, F.lit(True)).alias("c")).first().c
+    assert (flags.name, flags.address) == (False, True)
+
+
+def test_cleaning_and_exports(spark, tmp_path):
+    tasks = spark.createDataFrame([("a", "done", "2024-01-10"), ("b", "failed", "2024-01-10"), ("c", "done", "2023-01-01")], "id string, status string, day string").withColumn("created_at", F.to_timestamp("day"))
+    assert [r.id for r in incremental.cleaned(tasks, F.to_timestamp(F.lit("2024-01-11")), 30, ["failed"]).collect()] == ["a"]
+    rows = spark.createDataFrame([(1, "-", "x", 0.951)], "id int, a string, b string, s double")
+    out = writers.export_rows(rows, {"Id": "id", "Name": ["a", "b"], "Score": "s"}, ["Score"], ["Id"]).first()
+    assert tuple(out) == ('="1"', "x", "95.1%")
+    writers.write_csv(rows, f"file://{tmp_path}/csv")
+    assert readers.read_csv(spark, f"file://{tmp_path}/csv").first().b == "x"
+    entities = spark.createDataFrame([("e1", "PERSON", 'A"B', {"k": "v"}, 0.9)], "id string, type string, label string, properties map<string,string>, confidence double")
+    triples = spark.createDataFrame([("e1", "P", "e1", 0.5, ["x"])], "subject_id string, predicate string, object_id string, confidence double, evidence array<string>")
+    for kind in ("json", "csv", "rdf", "cypher"):
+        writers.write_graph(entities, triples, f"file://{tmp_path}/{kind}", kind)
+    with pytest.raises(ValueError):
+        writers.write_graph(entities, triples, f"file://{tmp_path}/x", "x")
+    assert writers.upsert_edges(spark, triples, entities, f"file://{tmp_path}/edges", "p").count() == 1
+    assert writers.upsert_entities(spark, entities, f"file://{tmp_path}/nodes", "p").count() == 1
+    assert stats.sampled(tasks, 2).count() == 2
+    assert profile.place_hierarchy(["nation", "district", "x"]) == [("nation", "district")]
+    assert profile.naming_patterns(["a_b", "aB", "AB"])["snake_case"] == 1

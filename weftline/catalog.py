@@ -397,6 +397,17 @@ def company_names(spark, sf_dir):
     return rows.select("c_custkey", r6("s.overall").alias("overall"), r6("s.core").alias("core"), "s.conflict", "s.matched", "intelligent", "blend")
 
 
+@query()
+def name_conflicts(spark, sf_dir):
+    """Conflict, seven-part blend and record blend of each name with another spelling; coarse address similarity."""
+    from weftline.functions.address import coarse_udf, precise_udf
+    from weftline.functions.conflicts import blended_udf, conflict_udf, record_blend
+
+    a, b, x, y = (F.col(c) for c in ("name", "other_name", "address", "other_address"))
+    rows = chinese_registry(spark, sf_dir)
+    return rows.select("c_custkey", conflict_udf(a, b).alias("conflict"), r6(blended_udf(a, b)).alias("blend"), r6(record_blend(a, b, x, y)).alias("record"), r6(coarse_udf(x, y)).alias("coarse"), (precise_udf(x, y) == 1).alias("precise"))
+
+
 @query()
 def field_keywords(spark, sf_dir):
     """Keyword index of names and addresses: keyword, in how many records."""

@@ -108,3 +108,40 @@ def _similar(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
 def address_similarity(a: Column, b: Column) -> Column:
     """level_similarity of two addresses, normalised first; equal ones 1, an empty one 0."""
     return _similar(address(a), address(b))
+
+
+# --- dual validation: its own, coarser levels ---------------------------------------------------------------
+
+#: Each level as the shortest text that ends in its word, and its weight.
+COARSE = {"province": ("(.*?省)", 0.1), "city": ("(.*?市)", 0.2), "district": ("(.*?[区县])", 0.25), "street": ("(.*?[路街道巷弄])", 0.3), "number": (r"(\d+号?)", 0.35)}
+
+
+def _lcs_share(a: str, b: str) -> float:
+    a, b = a.lower().replace(" ", ""), b.lower().replace(" ", "")
+    return 1.0 if a == b else fuzzy.lcs(a, b) / max(len(a), len(b)) if a and b else 0.0
+
+
+def coarse_similarity(a: str, b: str) -> float:
+    """Weighted mean of the longest common subsequence's share over the levels that both have; another house number
+    halves it, and so does a result under 0.6."""
+    found = [{k: (m[1] if (m := re.search(p, x)) else "") for k, (p, _) in COARSE.items()} for x in (a, b)]
+    both = [k for k in COARSE if found[0][k] and found[1][k]]
+    if not both:
+        return _lcs_share(a, b)
+    score = sum(_lcs_share(found[0][k], found[1][k]) * COARSE[k][1] for k in both) / sum(COARSE[k][1] for k in both)
+    if "number" in both and found[0]["number"] != found[1]["number"]:
+        score *= 0.5
+    return min(1.0, score if score >= 0.6 else score * 0.5)
+
+
+def precise(a: str, b: str, most: int = 50, least: float = 0.7) -> bool:
+    """Whether house numbers (at most so far apart) and street names leave room for one place."""
+    x, y = (re.search(r"(\d+)号?", t) for t in (a, b))
+    if x and y and abs(int(x[1]) - int(y[1])) > most:
+        return False
+    s, t = (re.search("([^市区县]*?[路街道巷弄])", v) for v in (a, b))
+    return not (s and t and _lcs_share(s[1], t[1]) < least)
+
+
+coarse_udf = fuzzy.pair_udf(coarse_similarity)
+precise_udf = fuzzy.pair_udf(lambda a, b: float(precise(a, b)))

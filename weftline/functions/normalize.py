@@ -202,3 +202,21 @@ def to_int(value: Column, default: int = 0) -> Column:
 
 def timestamp_text(value: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.coalesce(F.date_format(value, pattern), F.lit(""))
+
+
+# --- rewriters of unusual addresses, for callers that want them ---------------------------------------------
+
+
+def highway_address(value: Column) -> Column:
+    """Road numbers marked as motorways, a range of kilometres as its end."""
+    return address(F.regexp_replace(F.regexp_replace(text(value), r"([SG]\d+)", "高速$1"), r"(\d+)-(\d+)公里", "$1公里"))
+
+
+def building_address(value: Column) -> Column:
+    """Bracketed remarks and room numbers behind lane and house dropped."""
+    return address(F.regexp_replace(F.regexp_replace(text(value), "（.*?）", ""), r"(\d+弄\d+号\d+)室", "$1"))
+
+
+def completed_address(value: Column) -> Column:
+    """A city name that was cut short."""
+    return address(F.regexp_replace(text(value), "^上(?!海)", "上海市"))
