@@ -68,6 +68,10 @@ def test_graph_build(spark):
     said = spark.createDataFrame([("宏达有限公司位于上海市天宝路1号",)], "text string")
     assert graph.text_triples(said, "text", entities).first().predicate == graph.LOCATED_IN
     assert graph.merged_triples(triples.drop("times").unionByName(triples.drop("times"))).count() == triples.count()
+    again = graph.merged_triples(triples.drop("times").withColumn("evidence", F.expr("transform(sequence(1, 30), i -> concat('e', i))")).unionByName(triples.drop("times")))
+    assert again.filter("times = 2 and size(evidence) = 10").count() == triples.count()
+    one = entities.filter("label = '宏达有限公司'").first()
+    assert one.records == 2 and one.properties["unit"] == "宏达有限公司"
     assert graph.remapped(entities, {"PERSON": "HUMAN"}, {"unit": "name"}).filter("type = 'HUMAN'").count() == 2
 
 
@@ -133,7 +137,9 @@ def test_incremental(spark):
 
 def test_association_skips_empty_keys(spark):
     df = spark.createDataFrame([(1, "k", 0.5), (2, "k", None), (3, None, 1.0), (4, "", 1.0), (5, "", 1.0), (6, "z", 1.0)], "id int, b string, s double")
-    got = stats.associations(df, "b", "id", F.col("s"), ["b", "s"], ["s"]).collect()
+    groups = stats.associations(df, "b", F.col("s"), ["b", "s"])
+    got = groups.collect()
+    assert {r.id for r in stats.association_records(df, groups, "b").collect()} == {1, 2}
     assert [(r.association_id, r.members, r.confidence, r.quality) for r in got] == [("k", 2, 0.5, 0.75)]
 
 

@@ -433,17 +433,24 @@ def hybrid_scores(spark, sf_dir):
 @query("SELECT CAST(o_custkey AS VARCHAR) AS association_id, count(*) AS members, round(max(o_totalprice), 6) AS confidence, round(avg((CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 2.0 END) / 2), 6) AS quality FROM orders GROUP BY 1 HAVING count(*) > 1")
 def assoc_by_customer(spark, sf_dir):
     orders = t(spark, sf_dir, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus")))
-    found = stats.associations(orders, "o_custkey", "o_orderkey", F.col("o_totalprice"), ["status", "o_orderpriority"], ["o_totalprice"])
+    found = stats.associations(orders, "o_custkey", F.col("o_totalprice"), ["status", "o_orderpriority"])
     return found.select("association_id", "members", r6("confidence").alias("confidence"), r6("quality").alias("quality"))
 
 
+@query("SELECT CAST(o_custkey AS VARCHAR) AS association_id, o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)")
+def assoc_records(spark, sf_dir):
+    orders = t(spark, sf_dir, "orders")
+    groups = stats.associations(orders, "o_custkey", F.col("o_totalprice"), ["o_orderpriority"])
+    return stats.association_records(orders, groups, "o_custkey").select("association_id", "o_orderkey")
+
+
 @query("""
 WITH g AS (SELECT o_custkey, count(*) AS members, avg((CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 2.0 END) / 2) AS quality FROM orders GROUP BY 1 HAVING count(*) > 1)
 SELECT count(*) AS groups, count(*) FILTER (members > 0) AS with_records, round(100.0 * count(*) FILTER (members > 0) / count(*), 2) AS rate, round(avg(members), 6) AS avg_members, round(avg(quality), 6) AS avg_quality FROM g
 """)
 def assoc_stats(spark, sf_dir):
     orders = t(spark, sf_dir, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus")))
-    found = stats.association_stats(stats.associations(orders, "o_custkey", "o_orderkey", F.col("o_totalprice"), ["status", "o_orderpriority"], []))
+    found = stats.association_stats(stats.associations(orders, "o_custkey", F.col("o_totalprice"), ["status", "o_orderpriority"]))
     return found.select("groups", "with_records", "rate", r6("avg_members").alias("avg_members"), r6("avg_quality").alias("avg_quality"))
 
 

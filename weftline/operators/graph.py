@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import tokens as K
@@ -116,14 +116,16 @@ def extracted(table: DataFrame, record: str, fields: dict[str, list[str]], name:
 
 
 def merged_entities(entities: DataFrame) -> DataFrame:
-    """One row per id: the label of the first record, the properties of all (of equal keys the first record's), the
-    largest confidence, how many records."""
-    ordered = F.sort_array(F.collect_list(F.struct("source_table", "source_record_id", "label", F.map_entries("properties").alias("entries"))))
-    grouped = entities.groupBy("id", "type").agg(ordered.alias("all"), F.max("confidence").alias("confidence"), F.count("*").alias("records"))
-    entries = F.flatten(F.transform("all", lambda x: x["entries"]))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    first = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), 1)["value"])
-    return grouped.select("id", "type", F.col("all")[0]["label"].alias("label"), F.map_from_arrays(keys, first).alias("properties"), F.col("all")[0]["source_table"].alias("source_table"), "confidence", "records")
+    """One row per id: label and table of the first record, the properties of all (of equal keys the first record's),
+    the largest confidence, how many records. Partial aggregates by id and key, so that an entity of very
+    many records is no single list."""
+    order = F.struct("source_table", "source_record_id", "label")
+    base = entities.groupBy("id", "type").agg(F.min(order).alias("first"), F.max("confidence").alias("confidence"), F.count("*").alias("records"))
+    each = entities.select("id", "type", order.alias("by"), F.explode("properties"))
+    first = each.groupBy("id", "type", "key").agg(F.min_by("value", "by").alias("value"))
+    maps = first.groupBy("id", "type").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("properties"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return base.join(maps, ["id", "type"], "left").select("id", "type", F.col("first.label").alias("label"), F.coalesce("properties", none).alias("properties"), F.col("first.source_table").alias("source_table"), "confidence", "records")
 
 
 def entity_summary(entities: DataFrame) -> DataFrame:
@@ -222,10 +224,15 @@ def constrained(triples: DataFrame, relation: str = MANAGED_BY) -> DataFrame:
 
 
 def merged_triples(triples: DataFrame, most_evidence: int = 10) -> DataFrame:
-    """One row per subject, predicate and object: the largest confidence and the smallest ten distinct evidences."""
-    evidence = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))), 1, most_evidence)
+    """One row per subject, predicate and object: the largest confidence and the smallest ten distinct evidences, which
+    are ranked before they are gathered."""
+    keys = ["subject_id", "predicate", "object_id"]
     first = [F.min(c).alias(c) for c in ("subject_label", "subject_type", "object_label", "object_type", "source")]
-    return triples.groupBy("subject_id", "predicate", "object_id").agg(F.max("confidence").alias("confidence"), evidence.alias("evidence"), F.count("*").alias("times"), *first)
+    base = triples.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.count("*").alias("times"), *first)
+    said = triples.select(*keys, F.explode("evidence").alias("one")).distinct()
+    few = said.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("one"))).filter(F.col("rn") <= most_evidence)
+    lists = few.groupBy(*keys).agg(F.sort_array(F.collect_list("one")).alias("evidence"))
+    return base.join(lists, keys, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
 
 
 def valid_triples(triples: DataFrame, ontology: DataFrame | None = None, first_subject_only: bool = False) -> DataFrame:

@@ -160,15 +160,19 @@ def sampled(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
 # --- associations ---------------------------------------------------------------------------------------------
 
 
-def associations(rows: DataFrame, key: str, id_col: str, score: Column, fields: list[str], record: list[str], strategy: str = "building_based") -> DataFrame:
+def associations(rows: DataFrame, key: str, score: Column, fields: list[str], strategy: str = "building_based") -> DataFrame:
     """Groups of two rows or more of one, not empty key: association_id, strategy, members, confidence (the largest
-    score, 0 if none), quality (share of filled fields), and the rows themselves, by id."""
+    score, 0 if none), quality (share of filled fields). Aggregates only, so a key of very many rows is summed up
+    before the shuffle; association_records() has the rows."""
     share = sum((filled(F.col(f)).cast("int") for f in fields), F.lit(0)) / len(fields)
-    grouped = rows.filter(text(F.col(key)) != "").groupBy(F.col(key).cast("string").alias("association_id")).agg(
-        F.count("*").alias("members"), F.coalesce(F.max(score), F.lit(0.0)).alias("confidence"), F.avg(share).alias("quality"),
-        F.sort_array(F.collect_list(F.struct(F.col(id_col), *[F.col(c) for c in record]))).alias("records"),
-    )
-    return grouped.filter("members > 1").withColumn("strategy", F.lit(strategy))
+    grouped = rows.filter(text(F.col(key)) != "").groupBy(F.col(key).cast("string").alias("association_id"))
+    out = grouped.agg(F.count("*").alias("members"), F.coalesce(F.max(score), F.lit(0.0)).alias("confidence"), F.avg(share).alias("quality"))
+    return out.filter("members > 1").withColumn("strategy", F.lit(strategy))
+
+
+def association_records(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """The rows of associations, one each with its association_id: the nested list as a table."""
+    return rows.join(groups.select("association_id"), F.col(key).cast("string") == F.col("association_id"))
 
 
 def association_stats(groups: DataFrame) -> DataFrame:
