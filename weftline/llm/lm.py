@@ -20,7 +20,8 @@ BLOCK = 16 << 20
 SMOOTHING = 0.5
 #: The mark before each word in the vocabulary.
 MARK = "▁"
-_EMPTY = -math.inf
+#: Distinct tokens whose lattices are summed in one task, about.
+TOKENS = 50_000
 
 
 class Lattice:
@@ -30,28 +31,30 @@ class Lattice:
         """pieces: natural log probabilities; byte_scores: those of the 256 bytes, which make every
         word expressible."""
         self.pieces, self.bytes = pieces, byte_scores
+        self.single: dict[str, float] = {}  # scores of characters as bytes
         self.longest = max(map(len, pieces), default=1)
 
     def word(self, word: str) -> float:
         """Forward recursion in log space: alpha[i] of the first i characters adds up, over all pieces
         that end there, alpha before the piece plus the piece's score."""
         s = MARK + word
-        n, pieces, longest = len(s), self.pieces, self.longest
-        alpha = [_EMPTY] * (n + 1)
-        alpha[0] = 0.0
-        exp, log = math.exp, math.log
-        for i in range(1, n + 1):
-            terms = [alpha[i - 1] + sum(self.bytes[b] for b in s[i - 1].encode("utf-8", "surrogatepass"))]
-            for j in range(max(0, i - longest), i):
-                score = pieces.get(s[j:i])
+        get, single, longest, exp, log = self.pieces.get, self.single, self.longest, math.exp, math.log
+        alpha = [0.0]
+        for i in range(1, len(s) + 1):
+            c = s[i - 1]
+            if c not in single:
+                single[c] = sum(self.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
+            terms = [alpha[i - 1] + single[c]]
+            for j in range(i - longest if i > longest else 0, i):
+                score = get(s[j:i])
                 if score is not None:
                     terms.append(alpha[j] + score)
-            if len(terms) == 1:
-                alpha[i] = terms[0]
-            else:
-                top = max(terms)
-                alpha[i] = top + log(sum(exp(t - top) for t in terms))
-        return alpha[n]
+            top = max(terms)
+            total = 0.0
+            for t in terms:
+                total += exp(t - top)
+            alpha.append(top + log(total))
+        return alpha[-1]
 
 
 def vocabulary(data: bytes) -> tuple[list[str], list[int]]:
@@ -188,12 +191,14 @@ def likelihoods(docs: DataFrame, scratch: Scratch, path: str = VOCABULARY, block
     usable[byte_ids] = True
     scores = np.log(pieces + SMOOTHING) - math.log(float((pieces[usable] + SMOOTHING).sum()))
     lattice = Lattice({x: float(s) for x, s in zip(names, scores, strict=False) if x}, [float(scores[i]) for i in byte_ids])
-    scored = scratch.keep(counts.mapInArrow(_token_scores(lattice), "token binary, c long, lp double"), "scored")
+    scored = scratch.keep(counts.repartition(max(1, -(-v // TOKENS))).mapInArrow(_token_scores(lattice), "token binary, c long, lp double"), "scored")
 
+    scratch.drop("counts")
     log_total = math.log10(n + SMOOTHING * (v + 1))
     end = (math.log10(trained + SMOOTHING) - log_total, float(scores[-1]) / math.log(10), trained > 0)
     dictionaries = scratch.keep(distinct.select("block", "token").join(scored, "token"), "dictionaries")
     release(spark)
+    scratch.drop("distinct", "scored")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     run = _scored(end, (SMOOTHING, log_total))
     out = dealt.groupBy("block").cogroup(dictionaries.groupBy("block")).applyInArrow(run, schema)
