@@ -15,6 +15,8 @@ SHARDS = 24
 SEED = 7
 #: UTF-8 bytes of a bucket, about; a task holds one bucket at a time.
 BUCKET = 16 << 20
+#: Tasks of the second pass, at most; with more buckets than that, a task takes several, one after another.
+TASKS = 50_000
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 8
 LAW = "key"
@@ -98,7 +100,7 @@ def sharded(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, bucket_byte
     ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = scratch.keep(sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")), "sizes")
     rows = docs.withColumns(place).join(sizes, ["shard", "bucket"])
-    dealt = rows.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", id_col, F.xxhash64("text"), "text")
+    dealt = rows.repartition(min(TASKS, shards * buckets), "shard", "bucket").sortWithinPartitions("shard", "bucket", id_col, F.xxhash64("text"), "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "before")
     out = dealt.mapInArrow(_shuffled(seed, 8 * bucket_bytes), f"{fields}, slot long")
     out.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(scratch.path("shards"))
