@@ -1,9 +1,9 @@
 """Candidate pairs by shared tokens.
 
 A pair is a candidate if the target has at least a share of the source's tokens. Not every shared token is joined:
-of n tokens that must share m, some m-th lies among any n - m + 1, so only the source's rarest n - m + 1 tokens are
-looked up, and the frequent ones hardly ever. The overlap is then counted on the token arrays of each pair. No pair
-is lost and no token is dropped.
+of n tokens that must share m, at least k are among any n - m + k, so only the source's rarest n - m + k tokens are
+looked up, the frequent ones hardly ever, and only pairs with k hits go on. Their overlap is then counted on the token
+arrays. No pair is lost and no token is dropped.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tokens that a pair must share among those looked up (k above), where it must share that many at all.
+HITS = 3
+
+
 def token_index(rows: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """(id, token) once for each distinct token: the inverted index as a table."""
     return rows.select(F.col(id_col), F.explode(F.array_distinct(tokens)).alias("token"))
@@ -40,12 +44,13 @@ def token_join(source: DataFrame, target: DataFrame, least: float) -> DataFrame:
     the source's tokens, at least `least` (over 0)."""
     n = F.size("tokens")
     needed = F.greatest(F.lit(1), F.ceil(n * F.lit(least) - 1e-9))
+    sure = F.least(needed, F.lit(HITS))
     postings = target.select("tgt", F.explode("tokens").alias("token"))
     frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
-    asked = source.filter(n > 0).select("src", (n - needed + 1).alias("prefix"), F.explode("tokens").alias("token")).join(frequency, "token", "left")
+    asked = source.filter(n > 0).select("src", (n - needed + sure).alias("prefix"), sure.alias("sure"), F.explode("tokens").alias("token")).join(frequency, "token", "left")
     order = Window.partitionBy("src").orderBy(F.coalesce("df", F.lit(0)), "token")
-    asked = asked.withColumn("rn", F.row_number().over(order)).filter((F.col("rn") <= F.col("prefix")) & F.col("df").isNotNull()).select("src", "token")
-    pairs = asked.join(postings, "token").select("src", "tgt").distinct()
+    asked = asked.withColumn("rn", F.row_number().over(order)).filter((F.col("rn") <= F.col("prefix")) & F.col("df").isNotNull()).select("src", "sure", "token")
+    pairs = asked.join(postings, "token").groupBy("src", "tgt").agg(F.count("*").alias("c"), F.first("sure").alias("sure")).filter("c >= sure").select("src", "tgt")
     both = pairs.join(source.select("src", F.col("tokens").alias("a")), "src").join(target.select("tgt", F.col("tokens").alias("b")), "tgt")
     hits = F.size(F.array_intersect("a", "b"))
     return both.select("src", "tgt", hits.cast("long").alias("hits"), (hits / F.size("a")).alias("score")).filter(F.col("score") >= least - 1e-9)

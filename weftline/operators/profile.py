@@ -60,15 +60,25 @@ def counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out.withColumn("null_share", ratio(F.col("nulls"), F.col("rows"))).withColumn("unique_share", ratio(F.col("distinct_values"), F.col("rows")))
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """min, max, mean, sample deviation, exact quartiles, zeros and negatives of each numeric column."""
+def quartiles(x: Column, accuracy: int | None = None) -> Column:
+    """Array of the quartiles: interpolated exact ones, for which a task keeps a count of each distinct value; with an
+    accuracy approximate ones in bounded memory."""
+    thirds = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    return F.percentile(x, thirds) if accuracy is None else F.percentile_approx(x, thirds, accuracy)
+
+
+def numeric_summary(df: DataFrame, columns: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
+    """min, max, mean, sample deviation, quartiles, zeros and negatives of each numeric column."""
     columns = columns or [c for c in df.columns if is_numeric(df, c)]
     every = []
     for c in columns:
         x = F.col(c).cast("double")
-        parts = {"min_value": F.min(x), "max_value": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x), "q1": F.percentile(x, 0.25), "median": F.percentile(x, 0.5), "q3": F.percentile(x, 0.75), "zeros": F.count_if(x == 0), "negatives": F.count_if(x < 0)}
+        parts = {"min_value": F.min(x), "max_value": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x), "quartiles": quartiles(x, accuracy), "zeros": F.count_if(x == 0), "negatives": F.count_if(x < 0)}
         every += [v.alias(f"{c}__{k}") for k, v in parts.items()]
-    return unpivoted(df.agg(*every), columns, list(parts))
+    out = unpivoted(df.agg(*every), columns, list(parts))
+    for i, name in enumerate(("q1", "median", "q3")):
+        out = out.withColumn(name, F.col("quartiles")[i])
+    return out.drop("quartiles")
 
 
 def text_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -97,9 +107,10 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
+def outliers(df: DataFrame, columns: list[str], factor: float = 1.5, accuracy: int | None = None) -> DataFrame:
     """Values beyond `factor` interquartile ranges from the quartiles, of each column."""
-    bounds = df.agg(*[F.percentile(F.col(c).cast("double"), q).alias(f"{c}__{k}") for c in columns for k, q in (("q1", 0.25), ("q3", 0.75))])
+    found = df.agg(*[quartiles(F.col(c).cast("double"), accuracy).alias(c) for c in columns])
+    bounds = found.select(*[F.col(c)[i].alias(f"{c}__{k}") for c in columns for k, i in (("q1", 0), ("q3", 2))])
     joined = df.select(*columns).crossJoin(F.broadcast(bounds))  # one row of bounds
     every = []
     for c in columns:
