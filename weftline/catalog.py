@@ -11,6 +11,7 @@ from weftline.functions import normalize as N
 from weftline.functions import similarity as S
 from weftline.functions import tokens as T
 from weftline.operators import blocking, graph, incremental, linkage, profile, scoring, stats
+from weftline.session import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,7 +93,7 @@ def keyword_block_join(spark, sf_dir):
     """Top ten documents of each benchmark item by shared words."""
     words = F.array_distinct(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("([a-z0-9]{2,})"), 1))
     s = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("src"), words.alias("tokens"))
-    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("tgt"), words.alias("tokens"))
+    d = kept(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("tgt"), words.alias("tokens")), "tokens")  # read four times
     return blocking.top(blocking.token_join(s, d, 0.5), 10).select("src", "tgt", "hits", r6("score").alias("score"), "rank")
 
 
