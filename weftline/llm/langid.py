@@ -21,7 +21,7 @@ SMOOTHING = 0.5
 #: Documents of each language that the model is fitted on, about; more are sampled by their hash.
 TRAIN_ROWS = 4000
 #: Languages that the broadcast matrix has room for, at 256 KB each.
-MOST_LANGS = 500
+MOST_LANGS = 200
 #: Predictions of a smaller posterior are rejected by accepted().
 MIN_SCORE = 0.5
 UNKNOWN = "und"
