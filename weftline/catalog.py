@@ -18,13 +18,21 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Columns of SQL literals, which would be decimals.
+DOUBLES = {
+    "contains_pair_score": ["contained"], "phone_rules": ["score"], "regex_field_types": ["phone", "email"], "kg_triples": ["confidence"], "kg_inverse": ["confidence"], "kg_transitive": ["confidence"],
+    "kg_entity_quality": ["complete"], "kg_relation_quality": ["complete"], "kg_triple_quality": ["complete", "high"],
+}
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a function under its name, with its SQL."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            doubles = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in DOUBLES.get(f.__name__, []))
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({doubles}) FROM ({sql})" if doubles else sql
         return f
 
     return add
