@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontam, langid, packing, simhash, suffix_dedup
+from weftline.llm import decontam, langid, near_copies, packing, suffix_dedup
 from weftline.llm.common import Scratch, table
 
 
@@ -17,8 +17,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that of the smallest id."""
-    return simhash.keep_one(docs, Scratch(spark, "near"))
+    """Keeps one document of each group of near copies (5-word shingles of Jaccard >= 0.8), that of the smallest id."""
+    return near_copies.keep_one(docs, Scratch(spark, "near"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

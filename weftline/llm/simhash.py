@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -189,6 +189,14 @@ def near_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, parts: in
     return tiled.mapInArrow(compared, "a long, b long").filter("a <> b")
 
 
+def _classes(hashed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, fp) -> one row per fingerprint: key, rep (its smallest id), root (its component)."""
+    classes = hashed.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    roots = components(near_links(classes, scratch), scratch)
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select(F.col("fp").alias("key"), "rep", F.coalesce("root", "fp").alias("root"))
+    return scratch.keep(rooted, "roots")
+
+
 def simhash_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, fp (signed long), component_id: the smallest id among the documents
     reachable by links of at most RADIUS differing bits, itself included.
@@ -197,22 +205,25 @@ def simhash_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     with equal ids each keep their own row; null ids are never the smallest, and a component of null
     ids only has a null component_id. Other columns are not read."""
     hashed = scratch.keep(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
-    classes = hashed.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(near_links(classes, scratch), scratch)
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.keep(rooted, "roots")
+    rooted = _classes(hashed, scratch)
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return hashed.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return hashed.join(rooted.join(smallest, "root").select(F.col("key").alias("fp"), "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, rooted: DataFrame, key: Callable[[Column], Column], id_col: str, text: str) -> DataFrame:
+    """One row of docs per root of rooted (key, rep, root), where key gives a text's key: a row with the
+    root's smallest id, of the smallest such key, of the smallest text. Rows are found by id and key, so
+    that rows of equal ids and unlike texts are told apart."""
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("low"))
+    chosen = rooted.join(smallest, "root").filter(F.col("rep").eqNullSafe(F.col("low"))).groupBy("root").agg(F.min("key").alias("key"), F.first("low").alias("low"))
+    own, mark, low, nth = (fresh(docs, x) for x in ("__key", "__mark", "__low", "__nth"))
+    keyed = docs.withColumn(own, key(F.col(text)))
+    found = keyed.join(chosen.select(F.col("key").alias(mark), F.col("low").alias(low)), F.col(own) == F.col(mark)).filter(F.col(id_col).eqNullSafe(F.col(low)))
+    return found.withColumn(nth, F.row_number().over(Window.partitionBy(own).orderBy(text))).filter(F.col(nth) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id is their component's smallest; of rows with equal ids and texts one stays.
-    Rows without an id stay only where no row of their component has one."""
-    groups = simhash_groups(docs, scratch, id_col, text)
-    mark, own = fresh(docs, "__kept"), fresh(docs, "__fp")
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(mark)).distinct()
-    out = docs.join(kept, docs[id_col] == kept[mark], "left_semi").dropDuplicates([id_col])
-    lonely = groups.filter(F.col("component_id").isNull()).select(F.col("fp").alias(mark)).distinct()
-    nameless = with_fingerprint(docs.filter(docs[id_col].isNull()), text, own)
-    extra = nameless.join(lonely, nameless[own] == lonely[mark], "left_semi").dropDuplicates([own]).drop(own)
-    return out.unionByName(extra)
+    """The rows whose id is their component's smallest; of rows with equal ids in a component one stays, the
+    same one in each run. Rows without an id stay only where no row of their component has one."""
+    hashed = scratch.keep(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
+    return one_of_each(docs, _classes(hashed, scratch), _fingerprints, id_col, text)
