@@ -74,3 +74,12 @@ def test_stage_drops_near_copies(spark, docs, scratch):
 
 def test_no_near_copies(spark, docs, scratch):
     assert near_copies.keep_one(docs([]), scratch).count() == 0
+
+
+@pytest.mark.parametrize("method", [simhash, near_copies])
+def test_repeated_ids_of_unlike_texts(spark, docs, scratch, method):
+    r = random.Random(9)
+    one, two, three = (" ".join(f"w{r.randrange(5000)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, one), (5, one), (5, two), (7, three), (7, two), (8, one + " "), (7, three)]
+    found = Counter((x.doc_id, x.text) for x in method.keep_one(docs(rows), scratch).collect())
+    assert found == Counter([(1, one), (5, two), (7, three)])
