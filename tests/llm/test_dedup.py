@@ -87,21 +87,9 @@ def test_near_links_are_exact(spark, scratch):
     assert all(roots.get(x, x) == f.find(x) for x in signed)
 
 
-def test_keep_one(spark, docs, scratch):
-    rows = near_texts(4)
-    fps = [plain_fingerprint(t) for _, t in rows]
-    want = {i for (i, _), c in zip(rows, expected_components(rows, fps), strict=True) if i is not None and i == c}
-    found = simhash.keep_one(docs(rows), scratch)
-    assert found.columns == docs(rows).columns
-    ids = [r.doc_id for r in found.collect()]
-    assert Counter(i for i in ids if i is not None) == Counter(want)
-    assert ids.count(None) == 1  # the one whose component has no id
-
-
 def test_empty_tables(spark, docs, scratch):
     none = docs([])
     assert simhash.simhash_groups(none, scratch).count() == 0
-    assert simhash.keep_one(none, scratch).count() == 0
     assert suffix_dedup.repeated_bytes(none, scratch).count() == 0
     assert suffix_dedup.without_repeats(none, scratch).count() == 0
 

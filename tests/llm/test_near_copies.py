@@ -3,9 +3,10 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from weftline.llm import near_copies, simhash
+from weftline.llm import near_copies
 from weftline.llm.common import Forest
 
 
@@ -42,19 +43,48 @@ def edited_texts(seed):
     return rows + [(n, None), (n + 1, " \t\n"), (n + 2, "One"), (n + 3, "one"), (None, "one"), (None, "zz yy"), (None, "zz yy")]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_near_copies_are_all_found(spark, docs, scratch, seed):
+def sets(*texts):
+    return list(near_copies.shingle_sets(pa.array(texts, pa.string())))
+
+
+@pytest.mark.parametrize(("seed", "tile"), [(1, 8192), (2, 20), (3, 8192)])
+def test_near_copies_are_all_found(spark, docs, scratch, seed, tile):
     rows = edited_texts(seed)
-    found = near_copies.keep_one(docs(rows), scratch)
+    found = near_copies.keep_one(docs(rows), scratch, tile=tile)
     assert found.columns == docs(rows).columns
     assert Counter(r.doc_id for r in found.collect()) == plain_kept(rows)
 
 
-def test_alike_at_the_bound(spark):
+def test_alike_at_the_bound():
     words = [f"w{i}" for i in range(44)]  # 40 shingles
-    a = near_copies.shingles(" ".join(words))
-    assert near_copies.alike(a, near_copies.shingles(" ".join(words[:36])))  # 32 of 40
-    assert not near_copies.alike(a, near_copies.shingles(" ".join(words[:35])))
+    a, b, c = sets(" ".join(words), " ".join(words[:36]), " ".join(words[:35]))
+    assert near_copies.alike(a, b)  # 32 of 40
+    assert not near_copies.alike(a, c)
+
+
+def test_shingles_do_not_depend_on_pieces(monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join("A" * r.randrange(1, 60) + str(r.randrange(50)) for _ in range(r.randrange(200))) for _ in range(60)] + [None, "", " ", "x" * 5000, "a b", "A  b\n"]
+    whole = sets(*texts)
+    for text, found in zip(texts, whole, strict=True):
+        assert len(found) == len(plain_shingles(text))
+    assert whole[-1].tolist() == whole[-2].tolist()
+    monkeypatch.setattr(near_copies, "_PIECE", 700)
+    cut = sets(*texts)
+    assert [x.tolist() for i, x in enumerate(cut) if i != 63] == [x.tolist() for i, x in enumerate(whole) if i != 63]
+
+
+def test_loss_of_fingerprints():
+    """Pairs just at the bound: almost all within the radius."""
+    r, lost, n = random.Random(3), 0, 300
+    for _ in range(n):
+        words = [f"w{r.randrange(10**6)}" for _ in range(304)]  # 300 shingles
+        other = words[:271] + [f"v{r.randrange(10**6)}" for _ in range(33)]  # 267 of 333 in common
+        a, b = sets(" ".join(words), " ".join(other))
+        assert near_copies.alike(a, b)
+        far = sum(int(x).bit_count() for x in (near_copies.fingerprint(a) ^ near_copies.fingerprint(b)).view("uint64"))
+        lost += far > near_copies.RADIUS
+    assert lost == 0
 
 
 def test_stage_drops_near_copies(spark, docs, scratch):
@@ -76,10 +106,16 @@ def test_no_near_copies(spark, docs, scratch):
     assert near_copies.keep_one(docs([]), scratch).count() == 0
 
 
-@pytest.mark.parametrize("method", [simhash, near_copies])
-def test_repeated_ids_of_unlike_texts(spark, docs, scratch, method):
+def test_repeated_ids_of_unlike_texts(spark, docs, scratch):
     r = random.Random(9)
     one, two, three = (" ".join(f"w{r.randrange(5000)}" for _ in range(80)) for _ in range(3))
     rows = [(1, one), (5, one), (5, two), (7, three), (7, two), (8, one + " "), (7, three)]
-    found = Counter((x.doc_id, x.text) for x in method.keep_one(docs(rows), scratch).collect())
+    found = Counter((x.doc_id, x.text) for x in near_copies.keep_one(docs(rows), scratch).collect())
     assert found == Counter([(1, one), (5, two), (7, three)])
+
+
+def test_repeated_rows_and_null_ids(spark, docs, scratch):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(3, text), (3, text), (3, text), (None, text), (None, "alone"), (None, "alone"), (4, "other words"), (4, "other words"), (9, None), (9, "")]
+    found = Counter((x.doc_id, x.text or "") for x in near_copies.keep_one(docs(rows), scratch).collect())
+    assert found == Counter([(3, text), (None, "alone"), (4, "other words"), (9, "")])

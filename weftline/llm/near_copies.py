@@ -1,53 +1,94 @@
-"""Near copies by exact set similarity: all pairs of texts whose 5-word shingles have Jaccard >= 0.8."""
+"""Near copies by SimHash: wide fingerprints of 5-word shingles, compared in tiles, and confirmed on whole sets."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from weftline.llm.common import Rolling, Scratch, mixed
+from weftline.llm.common import U64, Rolling, Scratch, fresh, mixed, slices, utf8
 from weftline.llm.components import components
-from weftline.llm.simhash import one_of_each
+from weftline.llm.tiles import tiled
 
 WORDS = 5
 #: Least Jaccard similarity of a link, as a fraction.
 SIMILAR = (4, 5)
 SEED = 42
-#: Counters of shingle frequencies, and the rows they travel in.
-COUNTERS, SLICES = 1 << 20, 16
+#: Bits of a fingerprint, and those in which candidates may differ. Sets of Jaccard 0.8 have an angle of arccos(8/9),
+#: so that 19.4 of 128 bits differ, with a deviation of 4.1: over 36 do once in 50,000 such pairs.
+BITS = 128
+RADIUS = 36
+TILE = 8192
 #: 64-bit numbers of a parity sketch.
 SKETCH = 8
-_PIECE = 1 << 20
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """The set of a whole text's 5-word shingles as ascending 64-bit hashes. Words are split at ASCII white
-    space, A-Z lowered; a text of one to four words is one shingle; null, empty and blank texts have none."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
-    parts, at = [], 0
-    while at < len(data):
-        end = at + _PIECE
-        while end < len(data) and not data[end : end + 1].isspace():  # move on to the end of a word
-            end += 1
-        found = data[at:end].split()
-        parts.append(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in found), np.uint64, len(found)))
+_PIECE = 1 << 19
+_PAIRS = 1 << 17
+
+#: Bytes to themselves (A-Z lowered), ASCII white space to a blank.
+_FOLD = np.array([c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256)], np.uint8)
+
+
+def _word_hashes(raw: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the runs of non-blanks in folded bytes that end with a blank, piece by piece. A word
+    longer than a piece is hashed by another function; which one depends on the word alone."""
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, U64)], 0
+    while at < len(raw):
+        end = min(at + _PIECE, len(raw))
+        blanks = np.flatnonzero(raw[at:end] == 32)
+        if not len(blanks):
+            end = at + _PIECE
+            while not len(blanks := np.flatnonzero(raw[end : end + _PIECE] == 32)):
+                end += _PIECE
+            end += int(blanks[0])
+            starts.append(np.array([at]))
+            hashes.append(np.array([xxhash.xxh64_intdigest(raw[at:end], SEED)], U64))
+            at = end
+            continue
+        end = at + int(blanks[-1]) + 1
+        piece = raw[at:end]
+        edge = np.diff((piece != 32).astype(np.int8), prepend=np.int8(0))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        starts.append(first + at)
+        hashes.append(rolling.spans(rolling.prefix(piece.astype(U64)), first, last))
         at = end
-    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    if not len(words):
-        return words
-    n = max(1, len(words) - WORDS + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(min(WORDS, len(words))):
-        out = out * np.uint64(Rolling.BASE) + words[i : i + n]
-    return np.unique(mixed(out))
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def shingle_sets(array, rolling: Rolling | None = None) -> Iterator[np.ndarray]:
+    """The set of 5-word shingles of each whole text of an Arrow array, as ascending 64-bit hashes. Words are split
+    at ASCII white space, A-Z lowered; a text of one to four words is one shingle; null, empty and blank texts
+    have none."""
+    rolling = rolling or Rolling(1)
+    offsets, data = utf8(array)
+    for i, j in slices(offsets, _PIECE):
+        own = offsets[i : j + 1] - offsets[i]
+        raw = np.full(int(own[-1]) + j - i, 32, np.uint8)  # a blank after each text
+        raw[np.arange(int(own[-1])) + np.repeat(np.arange(j - i), np.diff(own))] = _FOLD[data[offsets[i] : offsets[j]]]
+        starts, hashes = _word_hashes(raw, rolling)
+        first = np.searchsorted(starts, own + np.arange(j - i + 1))
+        sums = np.zeros(max(0, len(hashes)), U64)
+        for k in range(WORDS):  # of each word and the four after it
+            sums[: max(0, len(hashes) - k)] += hashes[k:] * rolling_power(WORDS - 1 - k)
+        sums = mixed(sums)
+        for a, b in pairwise(first.tolist()):
+            if b - a >= WORDS:
+                yield np.unique(sums[a : b - WORDS + 1])
+            elif b > a:
+                few = sum((int(h) * int(rolling_power(k + WORDS)) for k, h in enumerate(hashes[a:b])), 0)
+                yield mixed(np.array([few % (1 << 64)], U64))
+            else:
+                yield np.zeros(0, U64)
+
+
+def rolling_power(k: int) -> np.uint64:
+    return U64(pow(Rolling.BASE, k, 1 << 64))
 
 
 def set_key(found: np.ndarray) -> int:
@@ -55,10 +96,20 @@ def set_key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
 
 
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """128-bit SimHash of a set: a bit is 1 if over half of the members' hashes have it."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(found), 1 << 16):
+        x = found[i : i + (1 << 16)]
+        wide = np.stack([x, mixed(x * U64(Rolling.BASE) + U64(SEED))], axis=1)
+        ones += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found)).view(np.int64)
+
+
 def sketch(found: np.ndarray) -> np.ndarray:
     """Whether each of 64 * SKETCH buckets has an odd number of the shingles. Two sets differ in at least as
     many shingles as their sketches in bits."""
-    odd = np.bincount((found % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    odd = np.bincount((found % U64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -71,172 +122,144 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return under * common >= over * (len(both) - common)
 
 
-@F.pandas_udf(LongType())
-def _keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in texts:
-        yield pd.Series(np.array([set_key(shingles(x)) for x in part], np.int64))
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
+_PRINT = ["f0", "f1"]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            np.add.at(total, (shingles(text) % np.uint64(COUNTERS)).astype(np.int64), 1)
-    parts = [x.astype("<i8").tobytes() for x in np.split(total, SLICES)]
-    yield pa.record_batch({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(parts, pa.binary())})
+def _digests(id_type: str):
+    """Rows (doc_id, th, text) -> their ids, key of the shingle set, its size, fingerprint and sketch."""
+    schema = f"doc_id {id_type}, th long, key long, n long, " + ", ".join(f"{c} long" for c in [*_PRINT, *_SKETCH])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling(2 * _PIECE)
+        for batch in batches:
+            rows = [(set_key(x), len(x), *fingerprint(x), *sketch(x)) for x in shingle_sets(batch.column("text"), rolling)]
+            cols = np.array(rows, np.int64).reshape(-1, 2 + len(_PRINT) + SKETCH)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "th": batch.column("th")} | {c: pa.array(cols[:, i]) for i, c in enumerate(["key", "n", *_PRINT, *_SKETCH])})
 
-def _added(part: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<i8") for x in part.column("counts"))
-    return pa.table({"slice": part.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    return run, schema
 
 
-def _levels(classes: DataFrame) -> np.ndarray:
-    """How frequent the shingles of each counter are, on a logarithmic scale of bytes. What is collected has
-    COUNTERS numbers, whatever the input."""
-    found = classes.select("text").mapInArrow(_counted, "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary").collect()
-    counts = np.zeros(COUNTERS, np.int64)
-    for r in found:
-        counts[r["slice"] * (COUNTERS // SLICES) :][: COUNTERS // SLICES] = np.frombuffer(r.counts, "<i8")
-    return np.minimum(8 * np.log2(counts + 1), 255).astype(np.uint8)
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds spot and sig: the size of the set on a scale that similar sets differ by one step on, and the
+    fingerprint's population count on one of steps beyond the radius."""
+    over, under = SIMILAR
+    for batch in batches:
+        size = np.floor(np.log(np.maximum(1, batch.column("n").to_numpy())) / math.log(under / over + 1e-9)).astype(np.int64)
+        ones = sum(np.bitwise_count(batch.column(c).to_numpy().view(U64)).astype(np.int64) for c in _PRINT)
+        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in batch.schema.names} | {"spot": batch.column("key"), "sig": pa.array(size * 8 + ones // (RADIUS + 1))})
 
 
-def _prefixes(levels: np.ndarray):
-    """Sets -> (token, key, n, pos): of a set's n shingles, rarest first, those of which one at least is shared
-    with each similar set."""
-    over, under = SIMILAR
+def _neighbours(sig: np.ndarray) -> Iterator[np.ndarray]:
+    for size, ones in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        to = sig % 8 + ones
+        yield np.where((to >= 0) & (to < 8), sig + 8 * size + ones, -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, keys, sizes, at = [], [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = shingles(text)
-                n = len(found)
-                most = n - -(-over * n // under) + 1 if n else 0
-                order = np.lexsort((found, levels[(found % np.uint64(COUNTERS)).astype(np.int64)]))[:most]
-                tokens.append(found[order])
-                keys.append(np.full(most, key, np.int64))
-                sizes.append(np.full(most, n, np.int64))
-                at.append(np.arange(most))
-            if tokens:
-                yield pa.record_batch({"token": np.concatenate(tokens).view(np.int64), "key": np.concatenate(keys), "n": np.concatenate(sizes), "pos": np.concatenate(at)})
-
-    return run
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token -> those whose token another row has."""
-    held, held_shared = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = {c: batch.column(c).to_numpy() for c in ("token", "key", "n", "pos")}
-        if held is not None:
-            cols = {c: np.concatenate([held[c], x]) for c, x in cols.items()}
-        same = cols["token"][1:] == cols["token"][:-1]
-        keep = np.concatenate([[held_shared], same]) | np.concatenate([same, [False]])
-        held, held_shared = {c: x[-1:] for c, x in cols.items()}, bool(keep[-1])
-        keep[-1] = False  # told with the next batch
-        yield pa.record_batch({c: x[keep] for c, x in cols.items()})
-    if held is not None and held_shared:
-        yield pa.record_batch(held)
-
-
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token -> all pairs of a token's sets of different roots that may be similar: with the
-    token as their first common one, what is behind it suffices."""
+
+def _candidates(nearest: bool):
+    """Pairs of two tiles whose fingerprints are near, whose sizes and sketches allow the similarity, and whose roots
+    differ: of each row the nearest only, or all."""
     over, under = SIMILAR
 
-    def pairs(rows):
-        key, root, n, pos = (np.concatenate([x[c] for x in rows]) for c in ("key", "root", "n", "pos"))
-        if (root == root[0]).all():
-            return
-        step = max(1, (1 << 20) // len(key))
-        for i in range(0, len(key), step):
-            own = slice(i, i + step)
-            left = np.minimum((n - pos)[own, None], (n - pos)[None, :])
-            fits = (left * (over + under) >= over * (n[own, None] + n[None, :])) & (root[own, None] != root[None, :])
-            fits &= key[own, None] < key[None, :]
-            a, b = np.nonzero(fits)
-            if len(a):
-                yield pa.record_batch({"a": key[a + i], "b": key[b]})
-
-    now, rows = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = {c: batch.column(c).to_numpy() for c in ("token", "key", "root", "n", "pos")}
-        edges = np.flatnonzero(np.diff(cols["token"])) + 1
-        for i, j in zip([0, *edges], [*edges, batch.num_rows], strict=True):
-            if cols["token"][i] != now and rows:
-                yield from pairs(rows)
-                rows = []
-            now = cols["token"][i]
-            rows.append({c: x[i:j] for c, x in cols.items()})
-    if rows:
-        yield from pairs(rows)
+    def links(x, y):
+        z = x if y is None else y
+        prints = [(x[c].view(U64), z[c].view(U64)) for c in _PRINT]
+        bits = [np.stack([t[c] for c in _SKETCH], axis=1).view(U64) for t in (x, z)]
+        best = np.full((2, max(len(x["key"]), len(z["key"]))), np.iinfo(np.int64).max)
+        step = max(1, _PAIRS // len(z["key"]))
+        for i in range(0, len(x["key"]), step):
+            far = sum(np.bitwise_count(f[i : i + step, None] ^ g[None, :]) for f, g in prints)
+            a, b = np.nonzero(far <= RADIUS)
+            far = far[a, b].astype(np.int64)
+            a = a + i
+            n_a, n_b = x["n"][a], z["n"][b]
+            fits = (under * np.minimum(n_a, n_b) >= over * np.maximum(n_a, n_b)) & (x["root"][a] != z["root"][b])
+            if y is None:
+                fits &= a < b
+            a, b, far = a[fits], b[fits], far[fits]
+            # similar sets differ in at most (under - over) / (under + over) of both
+            differ = np.bitwise_count(bits[0][a] ^ bits[1][b]).sum(axis=1, dtype=np.int64)
+            fits = differ * (over + under) <= (x["n"][a] + z["n"][b]) * (under - over)
+            a, b, far = a[fits], b[fits], far[fits]
+            if nearest:
+                np.minimum.at(best[0], a, far << 40 | b)
+                np.minimum.at(best[1], b, far << 40 | a)
+            elif len(a):
+                yield pa.record_batch({"a": x["key"][a], "b": z["key"][b]})
+        if nearest:
+            low = (1 << 40) - 1
+            for own, (f, g) in zip(best, ((x, z), (z, x)), strict=True):
+                at = np.flatnonzero(own != np.iinfo(np.int64).max)
+                yield pa.record_batch({"a": f["key"][at], "b": g["key"][own[at] & low]})
+
+    return links
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = lru_cache(64)(shingles)
+    rolling = Rolling(2 * _PIECE)
+    known = lru_cache(64)(lambda text: next(shingle_sets(pa.array([text], pa.large_string()), rolling)))
     for batch in batches:
         texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
         yield batch.select(["a", "b"]).filter(pa.array([alike(known(a), known(b)) for a, b in texts], pa.bool_()))
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs (a, b) that are similar; sketches only rule out pairs that cannot be."""
-    over, under = SIMILAR
-    for side in "ab":
-        pairs = pairs.join(sketches.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in sketches.columns if c != "key"]), side)
-    differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH)), F.lit(0))
-    both = F.col("n_a") + F.col("n_b")  # similar sets differ in at most (under - over) / (under + over) of it
-    possible = scratch.keep(pairs.filter(differ * (over + under) <= both * (under - over)).select("a", "b"), f"{name}-pairs")
-    for side in "ab":
-        possible = possible.join(classes.select(F.col("key").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return scratch.keep(possible.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long"), f"{name}-links")
-
-
-def similar_links(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct sets (key, text) -> edges (a, b) with the components of the graph of all pairs of Jaccard >= 0.8.
-
-    Prefix filter: with shingles in any one order, two sets of Jaccard >= 0.8 share one of the first n - ceil(0.8 n)
-    + 1 of each, so that only sets with a common one there are compared, and none is lost. The order is
-    rarest first by counters. In a first round each shared shingle links its sets in a chain by size; pairs
-    that it puts into one component need no second look. The second round compares all other pairs."""
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(x) for x in batch.column("text").to_pylist()]
-            bits = np.array([sketch(x) for x in sets], np.int64).reshape(-1, SKETCH)
-            yield pa.record_batch({"key": batch.column("key"), "n": pa.array([len(x) for x in sets], pa.int64())} | {f"s{i}": pa.array(bits[:, i]) for i in range(SKETCH)})
-
-    slim = classes.select("key", "text")
-    tokens = slim.mapInArrow(_prefixes(_levels(classes)), "token long, key long, n long, pos long")
-    shared = scratch.keep(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, key long, n long, pos long"), "shared")
-    met = shared.select("key").distinct()
-    texts = slim.join(met, "key", "left_semi")
-    sketches = scratch.keep(texts.mapInArrow(sketched, "key long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH))), "sketches")
-
-    chain = shared.select(F.col("key").alias("b"), F.lag("key").over(Window.partitionBy("token").orderBy("n", "key")).alias("a")).filter("a is not null").distinct()
-    first = _links(chain, sketches, texts, scratch, "first")
-    roots = scratch.keep(components(first, scratch, "chained"), "chained-roots")
-    rooted = shared.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("token", "key", F.coalesce("root", "key").alias("root"), "n", "pos")
-    rest = rooted.repartition("token").sortWithinPartitions("token").mapInArrow(_open_pairs, "a long, b long").distinct()
-    return first.union(_links(rest, sketches, texts, scratch, "second"))
-
-
-def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component of near copies: of those with the component's smallest id, one; the same one
-    in each run. Texts without words are copies of each other. Rows without an id stay only where
-    no row of their component has one."""
-
-    def key(column: Column) -> Column:
-        return _keys.asNondeterministic()(column)  # or filters would compute it a second time
-
-    hashed = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), key(F.col(text)).alias("key")), "keys")
-    classes = scratch.keep(hashed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")), "classes")
-    scratch.drop("keys")
-    roots = components(similar_links(classes, scratch), scratch)
-    rooted = classes.select("key", "rep").join(roots, classes.key == roots.node, "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    return one_of_each(docs, scratch.keep(rooted, "roots"), key, id_col, text)
+def similar_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, tile: int = TILE) -> DataFrame:
+    """Texts (th, text), any number of rows each, and their distinct sets (key, th, n, fingerprint, sketch) -> edges
+    (a, b) between keys, which span the components of the graph of all pairs of Jaccard >= 0.8.
+
+    All pairs of tiles whose set sizes and population counts can hold such a pair are compared by exclusive-or
+    and bit count. In a first round each set is linked with its nearest in each tile that it meets; the
+    second round gives all candidates whose sets the first has not joined, so that a group of copies
+    never gives all its pairs. Each candidate is confirmed on the whole texts' sets."""
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        ends = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-pairs")
+        met = ends.select(F.col("a").alias("key")).union(ends.select("b")).distinct().join(classes.select("key", "th"), "key")
+        texts = docs.join(met.select(F.col("th").alias("met"), "key"), F.col("th") == F.col("met")).groupBy("key").agg(F.first("text").alias("text"))
+        texts = scratch.keep(texts, f"{name}-texts")
+        for side in "ab":
+            ends = ends.join(texts.select(F.col("key").alias(side), F.col("text").alias(f"text_{side}")), side)
+        return scratch.keep(ends.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long"), f"{name}-links")
+
+    own = classes.select("key", "n", *_PRINT, *_SKETCH)
+    kinds = "key long, n long, " + ", ".join(f"{c} long" for c in [*_PRINT, *_SKETCH]) + ", root long, spot long, sig long"
+    points = scratch.keep(own.withColumn("root", F.col("key")).mapInArrow(_signed, kinds), "points")
+    first = confirmed(tiled(points, _neighbours, _candidates(True), "a long, b long", tile), "first")
+    roots = scratch.keep(components(first, scratch, "chained"), "chained-roots").withColumnRenamed("root", "to")
+    rooted = points.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("to", "root")).select(*points.columns)
+    rooted = scratch.keep(rooted, "rooted")
+    return first.union(confirmed(tiled(rooted, _neighbours, _candidates(False), "a long, b long", tile), "second"))
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """One row of each component of near copies (5-word shingles of Jaccard >= 0.8): that of the smallest id, of equal
+    ids that of the smallest text hash, of equal texts that of the smallest row written as JSON.
+
+    Texts without words are copies of each other. Rows without an id stay only where no row of their
+    component has one. Rows of equal ids and unlike texts are told apart. An empty table stays empty;
+    all columns stay as they are."""
+    hash_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    slim = docs.select(F.col(id_col).alias("doc_id"), hash_.alias("th"), F.col(text).alias("text"))
+    run, schema = _digests(slim.schema["doc_id"].dataType.simpleString())
+    rows = scratch.keep(slim.mapInArrow(run, schema), "digests")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("low")
+    classes = rows.groupBy("key").agg(low, F.count("*").alias("times"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in ["n", *_PRINT, *_SKETCH]])
+    classes = scratch.keep(classes, "classes")
+    roots = scratch.keep(components(similar_links(slim.select("th", "text"), classes, scratch, tile), scratch), "roots")
+    told = classes.join(roots, F.col("key") == F.col("node"), "left").filter("times > 1 or root is not null").select("key", F.coalesce("root", "key").alias("root"), "low")
+    told = scratch.keep(told, "told")
+    best = told.groupBy("root").agg(F.min("low").alias("best"))
+    fate = rows.select("doc_id", "th", "key").join(told.join(best, "root").select("key", "best"), "key")
+    chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
+    fate = fate.groupBy("doc_id", "th").agg(F.bool_or(chosen).alias("stays"), F.count("*").alias("times"))
+    fate = scratch.keep(fate.filter("times > 1 or not stays"), "fate")
+
+    own, key, th, stays = (fresh(docs, x) for x in ("__th", "__id", "__key", "__stays"))
+    hashed = docs.withColumn(own, hash_)
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(th))
+    fate = fate.select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("stays").alias(stays))
+    columns = [f"`{c}`" for c in docs.columns]
+    single = hashed.join(fate, same, "left_anti").select(*columns)
+    whole = F.struct(*columns)
+    several = hashed.join(fate.filter(F.col(stays)), same).groupBy(F.col(id_col).alias(key), own).agg(F.min_by(whole, F.to_json(whole)).alias(stays))
+    return single.union(several.select(*[f"`{stays}`.{c}" for c in columns]))

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from weftline.llm.common import Scratch, dense_forest, fresh
+from weftline.llm.common import Scratch, dense_forest
 from weftline.llm.components import components
+from weftline.llm.tiles import tiled
 
 WORDS = 3
 SEED = 42
@@ -24,6 +25,8 @@ PARTS = 4
 #: Fingerprints of one signature that meet in a task at once.
 TILE = 4096
 _PIECE = 1 << 20
+#: Pairs that are compared at once.
+_PAIRS = 1 << 17
 
 
 def _set_bits(hashes: list[int]) -> np.ndarray:
@@ -88,6 +91,31 @@ def _steps(radius: int, parts: int) -> list[tuple[int, ...]]:
     return [x for x in found if x > (0,) * parts]
 
 
+def _close(radius: int):
+    """Links of two tiles' fingerprints: edges that span the components of all pairs at most radius bits apart."""
+
+    def links(x, y):
+        own = x["fp"].view(np.uint64)
+        others = own if y is None else y["fp"].view(np.uint64)
+        rows = max(1, _PAIRS // len(others))
+        ends_a, ends_b = [], []
+        for i in range(0, len(own), rows):
+            a, b = np.nonzero(np.bitwise_count(own[i : i + rows, None] ^ others[None, :]) <= radius)
+            keep = a + i < b if y is None else slice(None)
+            ends_a.append(a[keep] + i)
+            ends_b.append(b[keep])
+        a, b = np.concatenate(ends_a), np.concatenate(ends_b)
+        both = own.view(np.int64)
+        if y is not None:
+            b += len(own)
+            both = np.concatenate([both, others.view(np.int64)])
+        root = dense_forest(len(both), a, b)
+        at = np.flatnonzero(root != np.arange(len(both)))
+        yield pa.record_batch({"a": both[root[at]], "b": both[at]})
+
+    return links
+
+
 def near_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, parts: int = PARTS, tile: int = TILE) -> DataFrame:
     """Distinct fingerprints (column fp) -> edges (a, b) that span, within each compared pair of tiles,
     the components of the graph of all pairs at most radius bits apart. Every such pair is compared
@@ -95,9 +123,7 @@ def near_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, parts: in
 
     A difference of at most radius bits changes the population counts of the parts by at most radius
     in sum, so a tile only meets tiles whose counts are that close; all other tile pairs are
-    skipped. The table of tile sizes has at most (64 / parts + 1) ** parts rows, 83,521 here, whatever the
-    input, so it may be collected. A signature with more fingerprints than a tile holds is cut into
-    several tiles, each of which meets the neighbours in a task of its own."""
+    skipped. There are at most (64 / parts + 1) ** parts signatures, 83,521 here, whatever the input."""
     width = 64 // parts
     base = [(width + 1) ** (parts - 1 - i) for i in range(parts)]
     steps = _steps(radius, parts)
@@ -105,88 +131,18 @@ def near_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, parts: in
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(0).to_numpy()
-            yield pa.record_batch({"fp": x, "sig": signature(x, parts)})
+            yield pa.record_batch({"fp": x, "spot": x, "sig": signature(x, parts)})
 
-    with_sig = scratch.keep(fps.select("fp").mapInArrow(signed, "fp long, sig long"), "signatures")
-    sizes = {r.sig: -(-r.n // tile) for r in with_sig.groupBy("sig").agg(F.count("*").alias("n")).collect()}
+    def close(sig: np.ndarray) -> Iterator[np.ndarray]:
+        digits = [sig // b % (width + 1) for b in base]
+        for step in steps:
+            fits = np.ones(len(sig), bool)
+            for d, s in zip(digits, step, strict=True):
+                fits &= (d + s >= 0) & (d + s <= width)
+            yield np.where(fits, sig + sum(s * b for s, b in zip(step, base, strict=True)), -1)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """home 0: in its own tile; 1: a visitor there."""
-        keys = np.array(sorted(sizes), np.int64)
-        tiles = np.array([sizes[x] for x in keys.tolist()], np.int64)
-
-        def rows(fp, group, block, visits):
-            return pa.record_batch({"fp": fp, "sig": group, "tile": block, "visits": np.full(len(fp), visits, np.int8)})
-
-        def spread(fp, group, first, last):
-            """A visitor in tiles first..last-1 of the group."""
-            n = np.maximum(last - first, 0)
-            at = np.repeat(np.arange(len(fp)), n)
-            return rows(fp[at], group[at], first[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n), 1)
-
-        for batch in batches:
-            fp, sig = batch.column("fp").to_numpy(), batch.column("sig").to_numpy()
-            n = tiles[np.searchsorted(keys, sig)]
-            own = (fp.view(np.uint64) % n.astype(np.uint64)).astype(np.int64)
-            yield rows(fp, sig, own, 0)
-            if (n > 1).any():
-                yield spread(fp, sig, own + 1, n)
-            digits = [sig // b % (width + 1) for b in base]
-            for step in steps:
-                fits = np.ones(len(sig), bool)
-                for d, s in zip(digits, step, strict=True):
-                    fits &= (d + s >= 0) & (d + s <= width)
-                to = sig + sum(s * b for s, b in zip(step, base, strict=True))
-                at = np.minimum(np.searchsorted(keys, to), len(keys) - 1)
-                fits &= keys[at] == to
-                if fits.any():
-                    yield spread(fp[fits], to[fits], np.zeros(int(fits.sum()), np.int64), tiles[at[fits]])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, home, seen = None, [], []
-
-        def links():
-            """Compares the home tile with itself and with the visitors that came so far."""
-            own = np.concatenate(home).view(np.uint64)
-            others = np.concatenate([own, *[x.view(np.uint64) for x in seen]])
-            ends_a, ends_b = [], []
-            rows = max(1, (1 << 20) // len(others))
-            for i in range(0, len(own), rows):
-                near = np.bitwise_count(own[i : i + rows, None] ^ others[None, :]) <= radius
-                a, b = np.nonzero(near)
-                keep = a + i < b
-                ends_a.append(a[keep] + i)
-                ends_b.append(b[keep])
-            root = dense_forest(len(others), np.concatenate(ends_a), np.concatenate(ends_b))
-            at = np.flatnonzero(root != np.arange(len(others)))
-            both = others.view(np.int64)
-            return pa.record_batch({"a": both[root[at]], "b": both[at]})
-
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("fp", "sig", "tile", "visits")]
-            edges = np.flatnonzero((np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-            for i, j in zip([0, *edges], [*edges, len(cols[0])], strict=True):
-                if i == j:
-                    continue
-                key = (cols[1][i], cols[2][i])
-                if key != now:
-                    if home:
-                        yield links()
-                    now, home, seen = key, [], []
-                cut = i + int(np.searchsorted(cols[3][i:j], 1))
-                if cut > i:
-                    home.append(cols[0][i:cut])
-                if cut < j and home:
-                    seen.append(cols[0][cut:j])
-                    if sum(map(len, seen)) > 1 << 20:  # visitors may be many: they are met in turns
-                        yield links()
-                        seen = []
-        if home:
-            yield links()
-
-    tiled = with_sig.mapInArrow(placed, "fp long, sig long, tile long, visits byte")
-    tiled = tiled.repartition("sig", "tile").sortWithinPartitions("sig", "tile", "visits")
-    return tiled.mapInArrow(compared, "a long, b long").filter("a <> b")
+    with_sig = scratch.keep(fps.select("fp").mapInArrow(signed, "fp long, spot long, sig long"), "signatures")
+    return tiled(with_sig, close, _close(radius), "a long, b long", tile).filter("a <> b")
 
 
 def _classes(hashed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -208,22 +164,3 @@ def simhash_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     rooted = _classes(hashed, scratch)
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return hashed.join(rooted.join(smallest, "root").select(F.col("key").alias("fp"), "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, rooted: DataFrame, key: Callable[[Column], Column], id_col: str, text: str) -> DataFrame:
-    """One row of docs per root of rooted (key, rep, root), where key gives a text's key: a row with the
-    root's smallest id, of the smallest such key, of the smallest text. Rows are found by id and key, so
-    that rows of equal ids and unlike texts are told apart."""
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("low"))
-    chosen = rooted.join(smallest, "root").filter(F.col("rep").eqNullSafe(F.col("low"))).groupBy("root").agg(F.min("key").alias("key"), F.first("low").alias("low"))
-    own, mark, low, nth = (fresh(docs, x) for x in ("__key", "__mark", "__low", "__nth"))
-    keyed = docs.withColumn(own, key(F.col(text)))
-    found = keyed.join(chosen.select(F.col("key").alias(mark), F.col("low").alias(low)), F.col(own) == F.col(mark)).filter(F.col(id_col).eqNullSafe(F.col(low)))
-    return found.withColumn(nth, F.row_number().over(Window.partitionBy(own).orderBy(text))).filter(F.col(nth) == 1).select(*[f"`{c}`" for c in docs.columns])
-
-
-def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id is their component's smallest; of rows with equal ids in a component one stays, the
-    same one in each run. Rows without an id stay only where no row of their component has one."""
-    hashed = scratch.keep(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
-    return one_of_each(docs, _classes(hashed, scratch), _fingerprints, id_col, text)
