@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Forest, Scratch
@@ -23,32 +23,35 @@ def _forests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(forest.edges(), columns=["a", "b"])
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "edges", most_rounds: int = 60) -> DataFrame:
-    """Edges (a, b) of type long -> one row (node, root) per node that has an edge; root is the smallest
-    node of its component. Loops count as edges; null ends must not occur.
-
-    Each task first replaces its edges by a spanning forest (in runs of bounded size). A large-star
-    step hangs the larger neighbours of each node on its smallest one, a small-star step the smaller
-    ones; minima are partially aggregated before the shuffle and joined back, so that AQE can split a
-    node of very many edges. Each round is a table in the shared folder. It ends when a round changes
-    nothing (count and hash sum of the edges)."""
-    now = scratch.keep(edges.select("a", "b").mapInPandas(_forests, "a long, b long").distinct(), f"{name}-0")
-    before = None
-    for i in range(1, most_rounds + 1):
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a")).filter("u <> v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).filter("a <> b").distinct()
-        after = scratch.keep(small, f"{name}-{i}")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if i > 1:
-            scratch.drop(f"{name}-{i - 2}")
-        now = after
-        if state == before:
+def _stars(now: DataFrame) -> DataFrame:
+    """A large-star step, which hangs the larger neighbours of each node on its smallest one, and a small-star step for
+    the smaller ones; minima are partially aggregated before the shuffle and joined back, so that AQE can
+    split a node of very many edges. moved: whether an edge was hung anew."""
+    both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.bool_or("moved").alias("moved"))
+    rest = large.join(least.select("u", "m"), "u").filter("v > m")
+    return least.select(F.col("u").alias("a"), F.col("m").alias("b"), "moved").union(rest.select("v", "m", F.lit(True)))
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "edges", most_rounds: int = 60, rounds: int | None = None) -> DataFrame:
+    """Edges (a, b) of type long -> one row (node, root) per node that has an edge to another; root is the smallest
+    node of its component. Null ends must not occur; loops and repeated edges don't count.
+
+    Each task first replaces its edges by a spanning forest (in runs of bounded size). Then large-star and
+    small-star steps alternate; each round is a table in the shared folder, and it ends with one that
+    moves nothing. With `rounds`, it ends after so many: nodes of equal root then are in one component,
+    but not the other way round."""
+    now = scratch.keep(edges.select("a", "b").mapInPandas(_forests, "a long, b long"), f"{name}-0")
+    for i in range(1, (rounds or most_rounds) + 1):
+        seen = Observation()
+        now = scratch.keep(_stars(now).observe(seen, F.max(F.col("moved").cast("int")).alias("moved")), f"{name}-{i}")
+        scratch.drop(f"{name}-{i - 1}")
+        if not seen.get["moved"]:
             break
-        before = state
     else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
+        if not rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        now = now.groupBy("a").agg(F.min("b").alias("b"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b").distinct().select("b", "b"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import U64, Rolling, Scratch, fresh, mixed, slices, utf8
 from weftline.llm.components import components
-from weftline.llm.tiles import tiled
+from weftline.llm.tiles import signature_sizes, tiled
 
 WORDS = 5
 #: Least Jaccard similarity of a link, as a fraction.
@@ -224,11 +224,12 @@ def similar_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, tile: i
     own = classes.select("key", "n", *_PRINT, *_SKETCH)
     kinds = "key long, n long, " + ", ".join(f"{c} long" for c in [*_PRINT, *_SKETCH]) + ", root long, spot long, sig long"
     points = scratch.keep(own.withColumn("root", F.col("key")).mapInArrow(_signed, kinds), "points")
-    first = confirmed(tiled(points, _neighbours, _candidates(True), "a long, b long", tile), "first")
-    roots = scratch.keep(components(first, scratch, "chained"), "chained-roots").withColumnRenamed("root", "to")
-    rooted = points.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("to", "root")).select(*points.columns)
-    rooted = scratch.keep(rooted, "rooted")
-    return first.union(confirmed(tiled(rooted, _neighbours, _candidates(False), "a long, b long", tile), "second"))
+    sizes = signature_sizes(points)
+    first = confirmed(tiled(points, sizes, _neighbours, _candidates(True), "a long, b long", tile), "first")
+    joined = scratch.keep(components(first, scratch, "chained", rounds=2).groupBy("node").agg(F.min("root").alias("to")), "joined")
+    rooted = points.join(joined, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("to", "root")).select(*points.columns)
+    second = confirmed(tiled(rooted, sizes, _neighbours, _candidates(False), "a long, b long", tile), "second")
+    return joined.select(F.col("node").alias("a"), F.col("to").alias("b")).union(second)
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
@@ -245,7 +246,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: st
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("low")
     classes = rows.groupBy("key").agg(low, F.count("*").alias("times"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in ["n", *_PRINT, *_SKETCH]])
     classes = scratch.keep(classes, "classes")
-    roots = scratch.keep(components(similar_links(slim.select("th", "text"), classes, scratch, tile), scratch), "roots")
+    roots = components(similar_links(slim.select("th", "text"), classes, scratch, tile), scratch)
     told = classes.join(roots, F.col("key") == F.col("node"), "left").filter("times > 1 or root is not null").select("key", F.coalesce("root", "key").alias("root"), "low")
     told = scratch.keep(told, "told")
     best = told.groupBy("root").agg(F.min("low").alias("best"))

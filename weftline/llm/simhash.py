@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType
 
 from weftline.llm.common import Scratch, dense_forest
 from weftline.llm.components import components
-from weftline.llm.tiles import tiled
+from weftline.llm.tiles import signature_sizes, tiled
 
 WORDS = 3
 SEED = 42
@@ -142,7 +142,7 @@ def near_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, parts: in
             yield np.where(fits, sig + sum(s * b for s, b in zip(step, base, strict=True)), -1)
 
     with_sig = scratch.keep(fps.select("fp").mapInArrow(signed, "fp long, spot long, sig long"), "signatures")
-    return tiled(with_sig, close, _close(radius), "a long, b long", tile).filter("a <> b")
+    return tiled(with_sig, signature_sizes(with_sig), close, _close(radius), "a long, b long", tile).filter("a <> b")
 
 
 def _classes(hashed: DataFrame, scratch: Scratch) -> DataFrame:

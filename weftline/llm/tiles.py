@@ -18,7 +18,12 @@ _TASKS = 20_000
 Columns = dict[str, np.ndarray]
 
 
-def tiled(points: DataFrame, steps: Callable[[np.ndarray], Iterator[np.ndarray]], links: Callable[[Columns, Columns | None], Iterator[pa.RecordBatch]], schema: str, tile: int) -> DataFrame:
+def signature_sizes(points: DataFrame) -> dict[int, int]:
+    """Points of each signature, a bounded number of which there must be."""
+    return {r.sig: r.n for r in points.groupBy("sig").agg(F.count("*").alias("n")).collect()}
+
+
+def tiled(points: DataFrame, sizes: dict[int, int], steps: Callable[[np.ndarray], Iterator[np.ndarray]], links: Callable[[Columns, Columns | None], Iterator[pa.RecordBatch]], schema: str, tile: int) -> DataFrame:
     """Points (columns of longs, among them sig: a signature, and spot: any hash) -> what links() gives.
 
     links(x, None) sees the points of a tile, links(x, y) those of two different tiles, or of a part of the
@@ -27,8 +32,7 @@ def tiled(points: DataFrame, steps: Callable[[np.ndarray], Iterator[np.ndarray]]
     opposite pair. All other tile pairs are skipped.
 
     A signature with more points than a tile holds is cut into several tiles, each of which has a task of
-    its own. The table of tile sizes has a row for each signature; callers bound their number."""
-    sizes = {r.sig: r.n for r in points.groupBy("sig").agg(F.count("*").alias("n")).collect()}
+    its own. sizes are those of signature_sizes()."""
     keys = np.array(sorted(sizes), np.int64)
     tiles = np.array([-(-sizes[k] // tile) for k in keys.tolist()], np.int64)
     names = points.columns
