@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def cleared(df: DataFrame, *names: str) -> DataFrame:
+    """df with its columns of these names, in any case, renamed by trailing underscores, to make room for them."""
+    wanted = {n.lower() for n in names}
+    taken, out = wanted | {c.lower() for c in df.columns}, []
+    for c in df.columns:
+        if c.lower() in wanted:
+            while c.lower() in taken:
+                c += "_"
+            taken.add(c.lower())
+        out.append(c)
+    return df.toDF(*out)
+
+
 def crc32_of(column: Column) -> Column:
     """CRC-32 of a value written as text, as unsigned long."""
     return F.crc32(column.cast("string").cast("binary"))
@@ -155,6 +169,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_hashes(raw: np.ndarray, rolling: Rolling, piece: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the runs of non-blanks in bytes that end with a blank, piece by piece, so that
+    memory follows the words and not the bytes. A word longer than a piece is hashed by another function;
+    which one depends on the word alone."""
+    found, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))], 0
+    while at < len(raw):
+        end = min(at + piece, len(raw))
+        blanks = np.flatnonzero(raw[at:end] == 32)
+        if not len(blanks):
+            while not len(blanks := np.flatnonzero(raw[end : end + piece] == 32)):
+                end += piece
+            end += int(blanks[0])
+            found.append((np.array([at]), np.array([end]), np.array([xxhash.xxh64_intdigest(raw[at:end])], U64)))
+        else:
+            end = at + int(blanks[-1]) + 1
+            part = raw[at:end]
+            edge = np.diff((part != 32).astype(np.int8), prepend=np.int8(0))
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            found.append((first + at, last + at, rolling.spans(rolling.prefix(part.astype(U64)), first, last)))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values (van Herk's block prefix and suffix minima)."""
     n = len(x) - w + 1

@@ -50,9 +50,10 @@ def _folded(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(points: np.ndarray, grams: tuple[int, ...] = GRAMS, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Folded code points, 0 between words and texts -> (buckets, positions) of all n-grams. An n-gram
-    has a letter, and zeros at its ends only; a run of zeros counts once, as a word's edge."""
+def features(points: np.ndarray, skip: int = 0, grams: tuple[int, ...] = GRAMS, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points, 0 between words and texts -> (buckets, positions) of all n-grams that end at place
+    `skip` or later. An n-gram has a letter, and zeros at its ends only; a run of zeros counts once, as a
+    word's edge."""
     found, places = [], []
     for k in grams:
         n = len(points) - k + 1
@@ -68,6 +69,7 @@ def features(points: np.ndarray, grams: tuple[int, ...] = GRAMS, buckets: int =
                 inner &= part != 0
         if k == 2:
             inner &= (points[:n] != 0) | (points[1 : 1 + n] != 0)
+        inner[: max(0, skip - k + 1)] = False
         at = np.flatnonzero(inner)
         found.append(((h[at] * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64) % buckets)
         places.append(at)
@@ -76,38 +78,33 @@ def features(points: np.ndarray, grams: tuple[int, ...] = GRAMS, buckets: int =
     return np.concatenate(found), np.concatenate(places)
 
 
-def _pieces(array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, row of each position, folded code points) of consecutive rows, about _PIECE characters
-    at a time; a longer text comes in several pieces, cut at blanks where it has any. Each text has a 0 on
-    both sides."""
+def _pieces(array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, row of each position, folded code points, places that came before) of consecutive rows, about
+    _PIECE characters at a time. Each text has a 0 on both sides. A longer text comes in several pieces, each
+    with the last places of the one before, so that its n-grams are those of the whole text."""
     rows, size, first = [], 0, 0
 
     def packed(parts):
-        points = _folded(np.frombuffer("".join(f"\0{p}\0" for p in parts).encode("utf-32-le", "surrogatepass"), np.uint32))
-        return np.repeat(np.arange(len(parts)), [len(p) + 2 for p in parts]), points
+        points = _folded(np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32))
+        return np.repeat(np.arange(len(parts)), [len(p) for p in parts]), points
 
     for i, text in enumerate(array.to_pylist()):
-        text = text or ""
+        text = f"\0{text or ''}\0"
         if len(text) > _PIECE:
             if rows:
-                yield first, *packed(rows)
-            at = 0
-            while at < len(text):
-                end = at + _PIECE
-                if end < len(text):
-                    end = max(text.rfind(" ", at, end), at) or end
-                    end = end if end > at else at + _PIECE
-                yield i, *packed([text[at:end]])
-                at = end
+                yield first, *packed(rows), 0
+            for at in range(0, len(text), _PIECE):
+                before = min(at, max(GRAMS) - 1)
+                yield i, *packed([text[at - before : at + _PIECE]]), before
             rows, size, first = [], 0, i + 1
             continue
         rows.append(text)
         size += len(text)
         if size > _PIECE:
-            yield first, *packed(rows)
+            yield first, *packed(rows), 0
             rows, size, first = [], 0, i + 1
     if rows:
-        yield first, *packed(rows)
+        yield first, *packed(rows), 0
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +112,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
-        for first, rows, points in _pieces(batch.column("text")):
-            bucket, at = features(points)
+        for first, rows, points, skip in _pieces(batch.column("text")):
+            bucket, at = features(points, skip)
             row = rows[at] + first
             for lang in set(langs[first : first + int(rows[-1]) + 1]):
                 own = bucket[(langs == lang)[row]]
@@ -149,9 +146,11 @@ def train(labelled: DataFrame, most: int = TRAIN_ROWS, most_langs: int = MOST_LA
 
 
 def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Rows with a text -> their columns `keep`, and those called `to`: language and score. The matrix is broadcast; a task sums its rows over
-    each text's n-grams. score is the posterior of the predicted language. Null texts, texts without a
-    letter, and all texts under a model without languages give UNKNOWN and 0."""
+    """Rows with a text -> their columns `keep`, and those called `to`: language and score. The matrix is broadcast; a
+    task sums its rows over each text's n-grams, of long texts piece by piece. score is the posterior of the
+    predicted language; of equal ones the first in the alphabet is told. Null texts, texts without a
+    letter, and all texts under a model without languages give UNKNOWN and 0. Repeated rows are each
+    predicted; an empty table stays empty."""
     spark = docs.sparkSession
     bounded_batches(spark)
     langs, table = model
@@ -163,8 +162,8 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[s
         for batch in batches:
             n = batch.num_rows
             total, seen = np.zeros((n, len(weights))), np.zeros(n, np.int64)
-            for first, rows, points in _pieces(batch.column("text")):
-                bucket, at = features(points)
+            for first, rows, points, skip in _pieces(batch.column("text")):
+                bucket, at = features(points, skip)
                 row, m = rows[at], int(rows[-1]) + 1
                 for j, weight in enumerate(weights):
                     total[first : first + m, j] += np.bincount(row, weight[bucket], m)
@@ -192,7 +191,8 @@ def fitted(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], np.ndarr
 
 def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is told: rejected are those without a letter and those whose
-    posterior is below min_score. Columns stay as they are."""
+    posterior is below min_score. Columns stay as they are, whatever their names; repeated rows stay or
+    go together; an empty table stays empty."""
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     kept = predicted(docs, fitted(docs), docs.columns, (lang, score)).filter((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score))
     return kept.select(*docs.columns)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import U64, Rolling, Scratch, fresh, mixed, slices, utf8
+from weftline.llm.common import U64, Rolling, Scratch, fresh, mixed, slices, utf8, word_hashes
 from weftline.llm.components import components
 from weftline.llm.tiles import signature_sizes, tiled
 
@@ -35,32 +35,6 @@ _PAIRS = 1 << 17
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256)], np.uint8)
 
 
-def _word_hashes(raw: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the runs of non-blanks in folded bytes that end with a blank, piece by piece. A word
-    longer than a piece is hashed by another function; which one depends on the word alone."""
-    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, U64)], 0
-    while at < len(raw):
-        end = min(at + _PIECE, len(raw))
-        blanks = np.flatnonzero(raw[at:end] == 32)
-        if not len(blanks):
-            end = at + _PIECE
-            while not len(blanks := np.flatnonzero(raw[end : end + _PIECE] == 32)):
-                end += _PIECE
-            end += int(blanks[0])
-            starts.append(np.array([at]))
-            hashes.append(np.array([xxhash.xxh64_intdigest(raw[at:end], SEED)], U64))
-            at = end
-            continue
-        end = at + int(blanks[-1]) + 1
-        piece = raw[at:end]
-        edge = np.diff((piece != 32).astype(np.int8), prepend=np.int8(0))
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        starts.append(first + at)
-        hashes.append(rolling.spans(rolling.prefix(piece.astype(U64)), first, last))
-        at = end
-    return np.concatenate(starts), np.concatenate(hashes)
-
-
 def shingle_sets(array, rolling: Rolling | None = None) -> Iterator[np.ndarray]:
     """The set of 5-word shingles of each whole text of an Arrow array, as ascending 64-bit hashes. Words are split
     at ASCII white space, A-Z lowered; a text of one to four words is one shingle; null, empty and blank texts
@@ -71,7 +45,7 @@ def shingle_sets(array, rolling: Rolling | None = None) -> Iterator[np.ndarray]:
         own = offsets[i : j + 1] - offsets[i]
         raw = np.full(int(own[-1]) + j - i, 32, np.uint8)  # a blank after each text
         raw[np.arange(int(own[-1])) + np.repeat(np.arange(j - i), np.diff(own))] = _FOLD[data[offsets[i] : offsets[j]]]
-        starts, hashes = _word_hashes(raw, rolling)
+        starts, _, hashes = word_hashes(raw, rolling, _PIECE)
         first = np.searchsorted(starts, own + np.arange(j - i + 1))
         sums = np.zeros(max(0, len(hashes)), U64)
         for k in range(WORDS):  # of each word and the four after it
