@@ -118,7 +118,7 @@ def test_linear_conversations_round_trip(spark, scratch):
     rows = []
     for conv in range(30):
         for turn in range(r.choice([1, 2, 3, 8, 33])):
-            rows.append((conv, turn, r.choice(["user", "assistant", "system", "", None, "</s>", "a|>b|"]), r.choice(TEXTS)))
+            rows.append((conv, turn, r.choice(["user", "assistant", "system", "", None, "</s>", "a|>b|", ">", "|", ">|>", "<"]), r.choice(TEXTS)))
     rows += [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (77, None, "assistant", "z"), (77, 1, "user", "b"), (77, 1, "user", "a"), (77, 1, "user", "a"), (-7, 0, "user", TEXTS[3]), (-7, 1, "assistant", TEXTS[3])]
     df = table(spark, ints=("conv_id", "turn"), conv_id=[x[0] for x in rows], turn=[x[1] for x in rows], role=[x[2] for x in rows], text=[x[3] for x in rows])
     found = {k[0]: v for k, v in read(chat.formatted(chat.linear_tree(df), scratch)).items()}
@@ -130,7 +130,7 @@ def test_linear_conversations_round_trip(spark, scratch):
         turns = [(x[3], x[5]) for x in sorted(own)]
         assert found[conv][0] == turns
         assert found[conv][1] == "".join(t for role, t in turns if role == "assistant")
-        assert found[conv][3].count("</s>") == len(turns) and found[conv][3].count("<|") == len(turns) and "[INST]" not in found[conv][3]
+        assert found[conv][3].count("</s>") == len(turns) and "[INST]" not in found[conv][3]
 
 
 def test_trees_give_every_path(spark, scratch):

@@ -95,13 +95,15 @@ def formatted(nodes: DataFrame, scratch: Scratch, best: int | None = None, loss_
 
 
 def parsed(chat: Column) -> Column:
-    """A formatted conversation back into its turns, as an array of (role, text)."""
+    """A formatted conversation back into its turns, as an array of (role, text). The end of a role is looked for
+    behind OPEN, so that a role may start with the last character of CLOSE."""
     pieces = F.split(chat, "\\Q" + END + "\\E", -1)
     turns = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    inner = F.transform(turns, lambda t: t.substr(F.lit(len(OPEN) + 1), F.length(t)))
     return F.transform(
-        turns,
+        inner,
         lambda t: F.struct(
-            unescaped(F.substring_index(t.substr(F.lit(len(OPEN) + 1), F.length(t)), CLOSE, 1)).alias("role"),
+            unescaped(F.substring_index(t, CLOSE, 1)).alias("role"),
             unescaped(t.substr(F.instr(t, CLOSE) + len(CLOSE), F.length(t))).alias("text"),
         ),
     )

@@ -21,6 +21,8 @@ BLOCK = 2000
 PIVOTS = 2048
 #: Compared pairs that are held at once.
 _PAIRS = 1 << 22
+#: Distances to pivots that are held at once.
+_DISTANCES = 1 << 20
 #: Rounding slack of the bounds, so that they never exclude a pair that the comparison links.
 _SLACK = 1e-9
 
@@ -44,6 +46,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0))
 
 
+def _bounded(label: np.ndarray, dim: np.ndarray, pivots: dict) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(label and dimension, rows of it), of so many rows that their distances to all its pivots stay a bounded matrix."""
+    for key in {*zip(label.tolist(), dim.tolist(), strict=True)}:
+        at = np.flatnonzero((label == key[0]) & (dim == key[1]))
+        step = max(1, _DISTANCES // max(len(pivots.get(key, ())), key[1], 1))
+        for i in range(0, len(at), step):
+            yield key, at[i : i + step]
+
+
 def near_pairs(classes: DataFrame, scratch: Scratch, cosine: float = COSINE, cell: int = CELL, block: int = BLOCK, most_pivots: int = PIVOTS) -> DataFrame:
     """Distinct usable vectors (id, label, vector, n: rows that have it) -> rows (a, b, times): for each vector a
     of some cell, how many rows of other vectors it is linked with there (b null), and edges a-b (times null)
@@ -79,9 +90,8 @@ def near_pairs(classes: DataFrame, scratch: Scratch, cosine: float = COSINE, cel
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector at home (visits 0) in its nearest pivot's cell and, as a visitor, in each cell of higher number that may hold a partner."""
         for batch in batches:
-            label, dim = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
-            for key in {*zip(label.tolist(), dim.tolist(), strict=True)}:
-                at = np.flatnonzero((label == key[0]) & (dim == key[1]))
+            label, dim = batch.column("label").to_numpy(zero_copy_only=False), batch.column("dim").to_numpy()
+            for key, at in _bounded(label, dim, shared.value):
                 rows = batch.take(pa.array(at))
                 x = _unit(_matrix(rows.column("vector")))
                 p = shared.value.get(key)
@@ -160,10 +170,10 @@ def near_pairs(classes: DataFrame, scratch: Scratch, cosine: float = COSINE, cel
             yield pa.record_batch({"a": ids[some], "b": pa.nulls(len(some), pa.int64()), "times": count[some]})
 
         for batch in batches:
-            key_cols = [batch.column(c).to_numpy() for c in ("label", "dim", "cell", "block", "visits")]
+            key_cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "dim", "cell", "block", "visits")]
             change = np.zeros(max(0, batch.num_rows - 1), bool)
             for c in key_cols:
-                change |= np.diff(c) != 0
+                change |= c[1:] != c[:-1]
             edges = (np.flatnonzero(change) + 1).tolist()
             for i, j in zip([0, *edges], [*edges, batch.num_rows], strict=True):
                 if i == j:

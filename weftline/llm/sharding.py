@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, release
+from weftline.llm.common import Scratch, cleared, release
 
 SHARDS = 24
 SEED = 7
@@ -83,15 +83,15 @@ def _shuffled(seed: int, most: int):
 def sharded(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, bucket_bytes: int = BUCKET, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
     """Writes the rows in shuffled order to one folder per shard and returns them reread, with shard, bucket
     and slot (gapless from 0 in the shard: the row's place in its order). docs has id_col and text; other
-    columns go along, but for any called shard, bucket, before or slot.
+    columns go along, those called shard, bucket, before or slot under that name and an underscore.
 
     Pass one scatters the rows by seeded hashes into so many buckets a shard that each has about
     bucket_bytes, pass two shuffles each bucket in memory and writes it. A bucket's slots start after
     those of the buckets before, counted ahead from the ids alone. Rows of equal id go to one bucket,
     in the order of their texts before the shuffle; null ids are one such id; null texts have no bytes.
-    The result is the same however tasks are dealt or repeated."""
+    A text is never cut; one longer than bucket_bytes makes its bucket larger. An empty table gives none. The result is the same however tasks are dealt or repeated."""
     spark = scratch.spark
-    docs = docs.drop("shard", "bucket", "before", "slot")
+    docs = cleared(docs, "shard", "bucket", "before", "slot")
     total = docs.agg(F.sum(row_size(F.col("text")))).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
     key = F.col(id_col)

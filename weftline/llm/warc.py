@@ -10,8 +10,10 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import islice
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ ARCHIVE = 32 << 20
 RANGE = 100_000
 #: Runs that are merged at once; more go through several passes.
 FAN_IN = 64
+#: Tasks that read archives back, at most; with more archives, a task reads several.
+READERS = 50_000
 #: Captures carry no time: page n counts as fetched n seconds after this.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -224,34 +228,39 @@ class LoserTree:
             self._play(i)
 
 
-def merge_runs(runs: list[list], key: Callable, fan_in: int = FAN_IN) -> Iterator:
-    """All runs in one order, by passes of at most fan_in runs."""
+def merge_runs(runs: list[Iterable], key: Callable, fan_in: int = FAN_IN) -> Iterator:
+    """All runs in one order; more than fan_in by trees of trees, each of which reads its runs as they are asked for."""
     while len(runs) > fan_in:
-        runs = [list(LoserTree(runs[i : i + fan_in], key)) for i in range(0, len(runs), fan_in)]
+        runs = [LoserTree(runs[i : i + fan_in], key) for i in range(0, len(runs), fan_in)]
     return iter(LoserTree(runs, key))
 
 
+def _rows(parts: list[pa.RecordBatch], at_once: int = 256) -> Iterator[tuple]:
+    """The rows of a run, made from its columns a few at a time."""
+    for part in parts:
+        for i in range(0, part.num_rows, at_once):
+            yield from zip(*(c.to_pylist() for c in part.slice(i, at_once).columns), strict=True)
+
+
 def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One key range, its slices of the runs one after another -> its captures in order, with history: the
-    capture's number among those of its URL key in this range."""
-    runs: list[list] = []
+    """One key range, its slices of the runs one after another -> its captures in order. The slices are held as
+    columns and read by the loser trees a few rows at a time."""
+    runs: list[list[pa.RecordBatch]] = []
     now, schema = None, None
     for batch in batches:
         schema = batch.schema
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[3] != now:
-                now = row[3]
-                runs.append([])
-            runs[-1].append(row)
+        names = batch.column("archive").to_numpy(zero_copy_only=False)
+        edges = (np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()
+        for i, j in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            if i < j:
+                if names[i] != now:
+                    now = names[i]
+                    runs.append([])
+                runs[-1].append(batch.slice(i, j - i))
     if schema is None:
         return
-    rows = []
-    for row in merge_runs(runs, _order):
-        rows.append(row)
-        if len(rows) == 10_000:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-            rows = []
-    if rows:
+    merged = merge_runs([_rows(r) for r in runs], _order)
+    while rows := list(islice(merged, 10_000)):
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
@@ -272,7 +281,8 @@ def archive_pages(pages: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES
     rows = pages.select("page_id", "url", "html").join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (own == F.col("again_digest")), "left")
     written = rows.select("page_id", "url", "html", "original").mapInArrow(_writer(scratch.path("warc"), archive), "archive string")
     written = scratch.keep(written, "archives")
-    return written.repartition("archive").mapInArrow(_reader(scratch.path("warc")), _CAPTURE)
+    tasks = min(READERS, max(1, written.count()))  # so many, as a row is a file of many bytes: its number is not left to their sizes
+    return written.repartition(tasks).mapInArrow(_reader(scratch.path("warc")), _CAPTURE)
 
 
 def capture_index(captures: DataFrame, scratch: Scratch, per_range: int = RANGE) -> DataFrame:
@@ -280,8 +290,10 @@ def capture_index(captures: DataFrame, scratch: Scratch, per_range: int = RANGE)
     with capture: the number of the capture in its URL's history, from 0.
 
     The runs are written to the shared folder first; key ranges of bounded size, cut within a URL's
-    history where it is long, then fetch their slices of all runs, and each range is merged by a
-    loser tree over its runs, in several passes if they are many."""
+    history where it is long, then fetch their slices of all runs (in transit blocks are mixed, so that each
+    task puts its slices in order again), and each range is merged by a loser tree over its runs, by a
+    tree of trees if they are many. Of equal keys, times and pages the order is that of archive and place.
+    Without captures the index is empty."""
     runs = scratch.keep(captures, "runs")
     n = runs.count()
     ranges = max(1, -(-n // per_range))
