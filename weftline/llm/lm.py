@@ -133,24 +133,40 @@ def _token_scores(lattice: Lattice):
 
 
 def _scored(end: tuple[float, float, bool], base_of: tuple[float, float]):
-    """end: base score, model score and whether known, of a text's end; base_of: (smoothing, log10 of the
-    denominator)."""
+    """Rows sorted by block, of each the dictionary (kind 0) before the texts -> their scores. end: base score, model
+    score and whether known, of a text's end; base_of: (smoothing, log10 of the denominator). A task holds one
+    block's dictionary and a batch of texts, however many rows a block has."""
     add, log_total = base_of
 
-    def run(_, texts: pa.Table, dictionary: pa.Table) -> pa.Table:
-        at = {w: i for i, w in enumerate(dictionary.column("token").to_pylist())}
-        c = dictionary.column("c").to_numpy()
-        lp = dictionary.column("lp").to_numpy() / math.log(10)
-        base = np.log10(c + add) - log_total
-        known = c > 0
-        rows = {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out")}
-        out = []
-        for text in texts.column("text").to_pylist():
-            found = words(text)
-            i = np.fromiter(map(at.__getitem__, found), np.int64, len(found))
-            out.append((len(found) + 1, int(known[i].sum()) + end[2], float(base[i].sum()) + end[0], float(lp[i].sum()) + end[1]))
-        n, k, b, s = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table(rows | {"n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(k, pa.int64()), "base_score": pa.array(b, pa.float64()), "score": pa.array(s, pa.float64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, parts, told = None, {}, [], None
+
+        def scores(texts):
+            base, lp, known = told
+            for text in texts:
+                found = words(text)
+                i = np.fromiter(map(at.__getitem__, found), np.int64, len(found))
+                yield len(found) + 1, int(known[i].sum()) + end[2], float(base[i].sum()) + end[0], float(lp[i].sum()) + end[1]
+
+        for batch in batches:
+            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            edges = (np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1).tolist()
+            for i, j in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if i == j:
+                    continue
+                rows = batch.slice(i, j - i)
+                if block[i] != now:
+                    now, at, parts, told = block[i], {}, [], None
+                if not kind[i]:
+                    at.update(zip(rows.column("token").to_pylist(), range(len(at), len(at) + j - i), strict=True))
+                    parts.append((rows.column("c").to_numpy(), rows.column("lp").to_numpy()))
+                    continue
+                if told is None:
+                    c, lp = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0))
+                    told = np.log10(c + add) - log_total, lp / math.log(10), c > 0
+                n, k, b, s = zip(*scores(rows.column("text").to_pylist()), strict=True)
+                out = {"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(k, pa.int64())}
+                yield pa.RecordBatch.from_pydict(out | {"base_score": pa.array(b, pa.float64()), "score": pa.array(s, pa.float64())})
 
     return run
 
@@ -161,14 +177,17 @@ def likelihoods(docs: DataFrame, scratch: Scratch, path: str = VOCABULARY, block
     The model: a text is its words in order and an end; a word is any sequence of vocabulary pieces that
     spells it after the word mark, single bytes always among them; pieces and the end are drawn
     independently. A text's likelihood so is the product of its words' lattice sums, and each distinct
-    token's is computed once. Piece probabilities are smoothed counts over the training texts, segmented
-    as the vocabulary does it; the vocabulary is given and never trained.
+    token's is computed once. The vocabulary is given and never trained. Its own scores are the ranks of its
+    merges, no logarithms of probabilities, and cannot weigh a segmentation; so the weights of its pieces are
+    smoothed counts over the training texts, segmented as the vocabulary does it, and the lattice sums over
+    all segmentations with these. A unigram vocabulary would bring its own weights; none is installed.
 
     Texts are dealt by hash into blocks of bounded size. A block contributes each distinct token once, so
     no token brings more rows to the counts and joins than there are blocks; the counts go back to each
     block as a dictionary of its own tokens. The piece table, of the vocabulary's size, is all that is
     collected. Null texts are empty: an end only. Without training texts all counts are 0. Repeated rows
-    count and are scored each."""
+    count and are scored each; equal ones are in one block, whose texts stream through its task. Texts are
+    whole, however long; an empty table gives no rows."""
     spark = scratch.spark
     size = F.octet_length(F.coalesce("text", F.lit("")))
     total, n_docs, trained = docs.agg(F.sum(size), F.count("*"), F.count_if(~held_out(F.col("doc_id")))).first()
@@ -201,5 +220,7 @@ def likelihoods(docs: DataFrame, scratch: Scratch, path: str = VOCABULARY, block
     scratch.drop("distinct", "scored")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     run = _scored(end, (SMOOTHING, log_total))
-    out = dealt.groupBy("block").cogroup(dictionaries.groupBy("block")).applyInArrow(run, schema)
+    own = dictionaries.select("block", F.lit(0).alias("kind"), "token", "c", "lp")
+    both = own.unionByName(dealt.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    out = both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
