@@ -310,16 +310,31 @@ def test_boundaries_are_optimal():
         assert padding(lengths, counts, ends) == best
 
 
-@pytest.mark.parametrize("chunk", [50_000, 7])
+@pytest.mark.parametrize("chunk", [8_000_000, 400])
 def test_packing(spark, scratch, chunk):
+    if not Path(packing.VOCABULARY).exists():
+        pytest.skip("no vocabulary here")
+    import tiktoken
+
     r = random.Random(5)
-    docs = [(i, " ".join("w" for _ in range(r.choice([0, 1, 5, 9, 30, 64, 65, 200, 900])))) for i in range(150)]
-    docs += [(200, None), (201, ""), (202, " \n"), (203, docs[7][1]), (203, docs[7][1]), (None, "a b")]
+    words = ["w", "The", "été", "\n", "🙂", "<|endoftext|>", "zzzzqqq"]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.choice([0, 1, 5, 9, 30, 64, 65, 200, 900])))) for i in range(150)]
+    docs += [(200, None), (201, ""), (202, " \n"), (203, docs[7][1]), (203, docs[7][1]), (None, "a b"), (204, "x" * 200_000)]
     d = table(spark, doc_id=[x[0] for x in docs], text=[x[1] for x in docs])
     found = packing.pack_documents(d, scratch, max_tokens=64, batch_tokens=256, buckets=4, chunk=chunk).collect()
-    want = Counter((i, s, min(64, n - 64 * s)) for i, t in docs for n in [len((t or "").split()) + 1] for s in range(-(-n // 64)))
-    assert Counter((x.doc_id, x.segment, x.n_tokens) for x in found) == want
-    assert all(x.start_token == 64 * x.segment and x.n_tokens <= x.bucket_tokens for x in found)
+    vocabulary = Path(packing.VOCABULARY).read_bytes()
+    ranks = {packing.base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    encoder = tiktoken.Encoding("test", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    lengths = {t: len(encoder.encode_ordinary(t)) + 1 for t in {t or "" for _, t in docs} if len(t) < 65536}
+    want = Counter((i, s, min(64, n - 64 * s)) for i, t in docs if len(t or "") < 65536 for n in [lengths[t or ""]] for s in range(-(-n // 64)))
+    assert Counter((x.doc_id, x.segment, x.n_tokens) for x in found if x.doc_id != 204) == want
+    assert all(x.start_token == 64 * x.segment and x.n_tokens == len(x.tokens) <= x.bucket_tokens for x in found)
+    whole = {}
+    for x in sorted(found, key=lambda x: x.segment):
+        if x.doc_id != 203:
+            whole[x.doc_id] = whole.get(x.doc_id, []) + x.tokens
+    assert {i: packing.decoded(v, vocabulary).decode() for i, v in whole.items()} == {i: t or "" for i, t in docs if i != 203}
+    assert all(v[-1] == 50_256 and v.count(50_256) == 1 for v in whole.values())
     lengths = sorted({x.n_tokens for x in found})
     counts = [sum(x.n_tokens == n for x in found) for n in lengths]
     ends = packing.best_boundaries(np.array(lengths), np.array(counts), 4)
@@ -330,3 +345,10 @@ def test_packing(spark, scratch, chunk):
         places = sorted(x.batch * most + x.slot for x in own)
         assert places == list(range(len(own))) and all(x.slot < most for x in own)
     assert packing.pack_documents(d.limit(0), scratch).count() == 0
+
+
+def test_packed_keeps_columns_of_clashing_names(spark):
+    seqs = spark.createDataFrame([(i, 0, 1 + i % 5, "own", "own") for i in range(30)], "doc_id long, segment long, n_tokens long, Slot string, batch string")
+    found = packing.packed(seqs, buckets=2, max_tokens=8)
+    assert set(found.columns) == {"doc_id", "segment", "n_tokens", "Slot_", "batch_", "bucket", "bucket_tokens", "batch", "slot"}
+    assert all(x.Slot_ == x.batch_ == "own" for x in found.collect())

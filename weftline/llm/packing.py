@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Callable, Iterator
+from functools import cache
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, cleared, fresh
+
+#: Byte-level BPE ranks, and the pattern that splits texts before the merges (fixed, it belongs to the ranks).
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Longest sequence; longer documents become several.
 MAX_TOKENS = 2048
 #: Number of length buckets and padded tokens of a batch.
 BUCKETS = 12
 BATCH_TOKENS = 32_768
-#: Sequences of a bucket that are numbered together.
-CHUNK = 50_000
+#: Padded tokens of a bucket's sequences that are numbered together, about.
+CHUNK = 8_000_000
 SEED = 11
+_PIECE = 1 << 16
+#: Tokens that leave a task at once, about.
+_HELD = 1 << 20
+
+
+@cache
+def _encoder(vocabulary: bytes, pattern: str) -> Callable[[str], list[int]]:
+    """Text to the ids of its tokens and one end, the id after the last; once for each worker. Texts are read in pieces of
+    _PIECE characters, each with tokens of its own."""
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
+    encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    end = max(ranks.values()) + 1
 
+    def encode(text: str) -> list[int]:
+        ids = []
+        for i in range(0, len(text), _PIECE):
+            ids += encoding.encode_ordinary(text[i : i + _PIECE])
+        return [*ids, end]
 
-def word_tokens(text: Column) -> Column:
-    """Number of tokens of a text: its runs of non-blank characters and one end."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
+    return encode
+
+
+def decoded(tokens: list[int], vocabulary: bytes) -> bytes:
+    """The bytes that token ids stand for; ends stand for none."""
+    pieces = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, vocabulary.splitlines())}
+    return b"".join(pieces.get(i, b"") for i in tokens)
 
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
@@ -54,30 +87,54 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int
     return [int(lengths[x]) for x in reversed(ends)]
 
 
-def sequences(docs: DataFrame, tokens: Column, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Adds segment, start_token and n_tokens: one row per document of at most max_tokens, otherwise one
-    for each max_tokens of it and the rest."""
-    counted = docs.withColumn("__n", tokens)
-    cut = counted.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / max_tokens))))
-    start = F.col("segment") * max_tokens
-    return cut.withColumn("start_token", start).withColumn("n_tokens", F.least(F.col("__n") - start, F.lit(max_tokens).cast("long"))).drop("__n")
+def sequences(docs: DataFrame, vocabulary: bytes, max_tokens: int = MAX_TOKENS, pattern: str = PATTERN) -> DataFrame:
+    """doc_id and text -> doc_id, segment, start_token, n_tokens, tokens: the ids of a whole text's tokens and one end, a
+    row for each max_tokens of them and the rest. The ids of a document in order decode to its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(vocabulary, pattern)
+        for batch in batches:
+            rows, held = [], 0
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                ids = encode(text or "")
+                for segment, at in enumerate(range(0, len(ids), max_tokens)):
+                    own = ids[at : at + max_tokens]
+                    rows.append((i, segment, at, len(own), own))
+                    held += len(own)
+                if held > _HELD:
+                    yield made(batch, rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(batch, rows)
+
+    def made(batch, rows):
+        at, *cols = zip(*rows, strict=True)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(at))} | {c: pa.array(v, t) for c, v, t in zip(("segment", "start_token", "n_tokens", "tokens"), cols, types, strict=True)})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, segment long, start_token long, n_tokens long, tokens array<int>")
 
 
 def packed(seqs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, max_tokens: int = MAX_TOKENS, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
-    """Sequences with n_tokens (1..max_tokens) -> the same rows with bucket, bucket_tokens (the length all of
-    the bucket are padded to), batch (gapless from 0 within the bucket) and slot (gapless from 0 within
-    the batch). A batch holds as many sequences as its token budget fits at the padded length, one at
-    least; the last of a bucket may be smaller.
+    """Sequences with doc_id, segment and n_tokens (1..max_tokens) -> the same rows with bucket, bucket_tokens (the
+    length all of the bucket are padded to), batch (gapless from 0 within the bucket) and slot (gapless from 0
+    within the batch). A batch holds as many sequences as its token budget fits at the padded length, one at
+    least; the last of a bucket may be smaller. Other columns go along, those of the new names under
+    theirs and an underscore.
 
     The histogram is global and has max_tokens rows at most, so it may be collected. A bucket's rows are
-    dealt by hash into chunks, numbered within each chunk and offset by the sizes of the chunks
-    before, so that no task holds a bucket. Rows equal in all hashed columns are numbered in any order."""
+    dealt by hash into chunks of so many tokens, numbered within each chunk and offset by the sizes of the
+    chunks before, so that no task holds a bucket. Rows equal in all hashed columns are numbered in any
+    order, and lie in one chunk."""
+    seqs = cleared(seqs, "bucket", "bucket_tokens", "batch", "slot")
     histogram = seqs.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").limit(max_tokens + 1).toPandas()
     ends = best_boundaries(histogram["n_tokens"].to_numpy(), histogram["n"].to_numpy(), buckets)
     if not ends:
         ends = [1]
     sizes = [int(histogram["n"][(histogram["n_tokens"] <= e) & (histogram["n_tokens"] > b)].sum()) for b, e in zip([0, *ends], ends, strict=False)]
-    spread = [max(1, -(-s // chunk)) for s in sizes]
+    spread = [max(1, -(-s * e // chunk)) for s, e in zip(sizes, ends, strict=True)]
+    own, part, at, before = (fresh(seqs, x) for x in ("__row", "__chunk", "__at", "__before"))
 
     def by_bucket(values: list[int]) -> Column:
         return F.element_at(F.array(*[F.lit(x).cast("long") for x in values]), F.col("bucket") + 1)
@@ -86,19 +143,21 @@ def packed(seqs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TO
     for i in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= ends[i], i).otherwise(bucket)
     row = F.xxhash64(F.lit(seed), "doc_id", "segment")
-    dealt = seqs.withColumn("bucket", bucket).withColumn("bucket_tokens", by_bucket(ends)).withColumn("__row", row).withColumn("__chunk", F.pmod("__row", by_bucket(spread)))
-    number = F.row_number().over(Window.partitionBy("bucket", "__chunk").orderBy("__row", "doc_id", "segment", "n_tokens")) - 1
-    numbered = dealt.withColumn("__at", number.cast("long"))
-    ahead = Window.partitionBy("bucket").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = dealt.groupBy("bucket", "__chunk").agg(F.count("*").alias("n")).select("bucket", "__chunk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__before"))
-    placed = numbered.join(chunks, ["bucket", "__chunk"]).withColumn("__at", F.col("__at") + F.col("__before"))
+    dealt = seqs.withColumn("bucket", bucket).withColumn("bucket_tokens", by_bucket(ends)).withColumn(own, row).withColumn(part, F.pmod(own, by_bucket(spread)))
+    number = F.row_number().over(Window.partitionBy("bucket", part).orderBy(own, "doc_id", "segment", "n_tokens")) - 1
+    numbered = dealt.withColumn(at, number.cast("long"))
+    ahead = Window.partitionBy("bucket").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = dealt.groupBy("bucket", part).agg(F.count("*").alias("n")).select("bucket", part, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
+    placed = numbered.join(chunks, ["bucket", part]).withColumn(at, F.col(at) + F.col(before))
     most = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(batch_tokens) / F.col("bucket_tokens")))
-    return placed.withColumn("batch", F.floor(F.col("__at") / most)).withColumn("slot", F.pmod("__at", most)).drop("__row", "__chunk", "__at", "__before")
+    return placed.withColumn("batch", F.floor(F.col(at) / most)).withColumn("slot", F.pmod(at, most)).drop(own, part, at, before)
 
 
-def pack_documents(docs: DataFrame, scratch: Scratch, **options: int) -> DataFrame:
-    """doc_id, segment, start_token, n_tokens, bucket, bucket_tokens, batch, slot of all documents. Null and
-    empty texts are one end token. Repeated rows are packed each; null ids are kept."""
-    slim = docs.select("doc_id", word_tokens(F.col("text")).alias("__tokens"))
-    seqs = sequences(slim, F.col("__tokens"), options.get("max_tokens", MAX_TOKENS)).drop("__tokens")
-    return packed(scratch.keep(seqs, "sequences"), **options).select("doc_id", "segment", "start_token", "n_tokens", "bucket", "bucket_tokens", "batch", "slot")
+def pack_documents(docs: DataFrame, scratch: Scratch, path: str = VOCABULARY, **options: int) -> DataFrame:
+    """doc_id, segment, start_token, n_tokens, tokens, bucket, bucket_tokens, batch, slot of all documents. Null and
+    empty texts are one end token. Repeated rows are packed each; null ids are kept; an empty table gives
+    no rows; other columns are not read."""
+    vocabulary = Path(path).read_bytes()  # by the driver; executors get it with the task
+    seqs = sequences(docs, vocabulary, options.get("max_tokens", MAX_TOKENS))
+    found = packed(scratch.keep(seqs, "sequences"), **options)
+    return found.select("doc_id", "segment", "start_token", "n_tokens", "tokens", "bucket", "bucket_tokens", "batch", "slot")
