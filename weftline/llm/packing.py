@@ -25,6 +25,8 @@ BUCKETS = 12
 BATCH_TOKENS = 32_768
 #: Padded tokens of a bucket's sequences that are numbered together, about.
 CHUNK = 8_000_000
+#: Tasks that number chunks, at most; with more chunks, a task has several.
+TASKS = 50_000
 SEED = 11
 _PIECE = 1 << 16
 #: Tokens that leave a task at once, about.
@@ -144,10 +146,12 @@ def packed(seqs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TO
         bucket = F.when(F.col("n_tokens") <= ends[i], i).otherwise(bucket)
     row = F.xxhash64(F.lit(seed), "doc_id", "segment")
     dealt = seqs.withColumn("bucket", bucket).withColumn("bucket_tokens", by_bucket(ends)).withColumn(own, row).withColumn(part, F.pmod(own, by_bucket(spread)))
+    shares = dealt.select("bucket", part)
+    dealt = dealt.repartition(min(TASKS, sum(spread)), "bucket", part)  # else the session's number of partitions bounds it
     number = F.row_number().over(Window.partitionBy("bucket", part).orderBy(own, "doc_id", "segment", "n_tokens")) - 1
     numbered = dealt.withColumn(at, number.cast("long"))
     ahead = Window.partitionBy("bucket").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = dealt.groupBy("bucket", part).agg(F.count("*").alias("n")).select("bucket", part, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
+    chunks = shares.groupBy("bucket", part).agg(F.count("*").alias("n")).select("bucket", part, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
     placed = numbered.join(chunks, ["bucket", part]).withColumn(at, F.col(at) + F.col(before))
     most = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(batch_tokens) / F.col("bucket_tokens")))
     return placed.withColumn("batch", F.floor(F.col(at) / most)).withColumn("slot", F.pmod(at, most)).drop(own, part, at, before)
