@@ -85,6 +85,38 @@ def link_part_names(spark, sf_dir):
     return parts.join(best, F.col("p_name") == F.col("name")).select("src", "matched_name", r6("score").alias("score"), scoring.confidence(F.col("score")).alias("confidence"))
 
 
+LABEL_SQL = """
+l AS (SELECT p_partkey AS id, p_name || ' ' || CASE WHEN p_partkey % 6 = 1 THEN 'x' ELSE '' END || substr(md5(CAST(p_partkey // 2 AS VARCHAR)), 1, 12) AS name FROM part)"""
+
+
+def part_labels(spark, sf_dir) -> DataFrame:
+    """(id, name): a name of its own for each part, of which those of keys 2n and 2n + 1 share a serial number, one in three
+    with a slip of the pen."""
+    key = F.col("p_partkey")
+    serial = F.left(F.md5(F.floor(key / 2).cast("long").cast("string").cast("binary")), F.lit(12))
+    return t(spark, sf_dir, "part").select(key.alias("id"), F.concat("p_name", F.lit(" "), F.when(key % 6 == 1, "x").otherwise(""), serial).alias("name"))
+
+
+@query(f"""
+WITH {LABEL_SQL},
+s AS (SELECT id, name, {SLICES_SQL} AS g FROM (SELECT id, name, regexp_replace(name, '[^a-zA-Z0-9_]', '', 'g') AS k FROM l)),
+tok AS (SELECT id, len(g) AS n, unnest(g) AS token FROM s),
+hits AS (SELECT a.id AS src, b.id AS tgt, count(*) AS h, any_value(a.n) AS n FROM tok a JOIN tok b USING (token) WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY 1, 2),
+pairs AS (SELECT src, tgt, a.name AS x, b.name AS y FROM hits JOIN l a ON a.id = src JOIN l b ON b.id = tgt WHERE h / n >= 0.5 - 1e-9),
+scored AS (SELECT src, tgt, CASE WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN 0.8 ELSE (greatest(len(x), len(y)) - levenshtein(x, y)) / greatest(len(x), len(y)) END AS score FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) AS rn FROM scored WHERE score >= 0.6)
+SELECT src, tgt, round(score, 6) AS score FROM ranked WHERE rn = 1
+""")
+def link_part_labels(spark, sf_dir):
+    """Parts of even keys with the likest of odd keys, by blocked slices of as many distinct names as there are parts."""
+    labels = kept(part_labels(spark, sf_dir).withColumn("tokens", T.slices(F.col("name"))), "labels")
+    s = labels.filter("id % 2 = 0").select(F.col("id").alias("src"), F.col("name").alias("s_name"), "tokens")
+    g = labels.filter("id % 2 = 1").select(F.col("id").alias("tgt"), F.col("name").alias("t_name"), "tokens")
+    pairs = blocking.token_join(s.select("src", "tokens"), g.select("tgt", "tokens"), 0.5).select("src", "tgt").join(s.drop("tokens"), "src").join(g.drop("tokens"), "tgt")
+    scored = pairs.withColumn("score", S.levenshtein(F.col("s_name"), F.col("t_name"))).filter("score >= 0.6")
+    return blocking.top(scored, 1).select("src", "tgt", r6("score").alias("score"))
+
+
 @query(f"WITH {PART_SLICES_SQL} SELECT a AS src, b AS tgt, hits, round(score, 6) AS score FROM pairs WHERE score >= 0.3 - 1e-9")
 def ngram_block_join(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("src", "tgt", "hits", r6("score").alias("score"))
@@ -313,16 +345,21 @@ def backfill_empty(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS rep, count(*) AS m FROM customer GROUP BY 1, 2),
-e AS (SELECT rep, m, 'n' AS attr, CAST(c_nationkey AS VARCHAR) AS v, 0.7 AS w FROM d UNION ALL SELECT rep, m, 's', c_mktsegment, 0.3 FROM d),
-g AS (SELECT attr, v, sum(m) AS degree FROM e GROUP BY 1, 2),
-x AS (SELECT e.attr, e.v, rep, w / (1 + ln(1 + degree)) AS part FROM e JOIN g USING (attr, v)),
-p AS (SELECT a.rep AS a, b.rep AS b, sum(a.part) AS weight, count(*) AS shared FROM x a JOIN x b ON a.attr = b.attr AND a.v = b.v AND a.rep < b.rep GROUP BY 1, 2)
-SELECT a, b, shared, round(1 / (1 + exp(-weight)), 6) AS score FROM p
+WITH c AS (SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS n, c_mktsegment AS s, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS rep FROM customer),
+e AS (SELECT id, rep, 'n' AS attr, n AS v, 0.7 AS w FROM c UNION ALL SELECT id, rep, 's', s, 0.3 FROM c),
+g AS (SELECT attr, v, count(*) AS degree FROM e GROUP BY 1, 2),
+p AS (SELECT a.id AS src, b.rep AS linked_class, b.id AS other, sum(a.w / (1 + ln(1 + degree))) AS weight, count(*) AS shared
+      FROM e a JOIN e b ON a.attr = b.attr AND a.v = b.v AND a.id <> b.id JOIN g ON g.attr = a.attr AND g.v = a.v GROUP BY 1, 2, 3)
+SELECT src, linked_class, max(shared) AS shared, count(*) AS linked, round(1 / (1 + exp(-max(weight))), 6) AS score FROM p GROUP BY 1, 2
 """)
 def shared_attr_score(spark, sf_dir):
-    found = linkage.shared_attributes(t(spark, sf_dir, "customer"), "c_custkey", {"c_nationkey": 0.7, "c_mktsegment": 0.3})
-    return found.select("a", "b", "shared", r6("score").alias("score"))
+    """Each customer's links by nation and segment: to which classes of customers, how many of them, with what score."""
+    attributes, customers = {"c_nationkey": 0.7, "c_mktsegment": 0.3}, t(spark, sf_dir, "customer")
+    found = linkage.shared_attributes(customers, "c_custkey", attributes)
+    ways = found.select("a", "b", "shared", "score", F.col("members_b").alias("linked")).unionByName(found.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "score", F.col("members_a").alias("linked")))
+    each = linkage.attribute_classes(customers, "c_custkey", attributes).join(ways, F.col("rep") == F.col("a"))
+    others = F.when(F.col("rep") == F.col("b"), F.col("linked") - 1).otherwise(F.col("linked"))
+    return each.select(F.col("id").alias("src"), F.col("b").alias("linked_class"), "shared", others.alias("linked"), r6("score").alias("score"))
 
 
 @query()
@@ -335,7 +372,29 @@ def registry_linkage(spark, sf_dir):
     return linkage.registry_linkage(named("nation", "n_nationkey", "n_name", "s"), named("region", "r_regionkey", "r_name", "t").unionByName(named("nation", "n_nationkey", "n_name", "t").withColumn("tgt", F.col("tgt") + 100)))
 
 
-@query()
+#: Longest common subsequences (l) of all pairs of texts x, y that a table `need` asks for.
+LCS_SQL = """
+steps AS (SELECT x, y, 0 AS i, [0 FOR j IN range(0, len(y) + 1)] AS v FROM need
+      UNION ALL
+      SELECT x, y, i + 1, list_reduce(list_prepend([0], [[CASE WHEN y[j] = x[i + 1] THEN v[j] + 1 ELSE v[j + 1] END] FOR j IN range(1, len(y) + 1)]), lambda acc, c: list_append(acc, greatest(acc[len(acc)], c[1])))
+      FROM steps WHERE i < len(x)),
+lcs AS (SELECT x, y, 2 * v[len(y) + 1] / (len(x) + len(y)) AS r FROM steps WHERE i = len(x))"""
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT DISTINCT p_name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS k FROM part),
+s AS (SELECT p_name, k, {SLICES_SQL} AS g FROM n),
+c AS (SELECT a.p_name AS src, b.p_name AS tgt, a.k AS x, b.k AS y FROM s a, s b WHERE len(list_intersect(a.g, b.g)) / len(a.g) >= 0.3 - 1e-9),
+ends AS (SELECT DISTINCT x, y, CASE WHEN len(x) <= len(y) THEN x ELSE y END AS short, CASE WHEN len(x) <= len(y) THEN y ELSE x END AS long FROM c WHERE greatest(len(x), len(y)) / least(len(x), len(y)) >= 1.5),
+windows AS (SELECT x, y, short, long[greatest(1, i + 1):i + len(short)] AS w FROM (SELECT *, unnest(range(1 - len(short), len(long))) AS i FROM ends)),
+need AS (SELECT x, y FROM c UNION SELECT short, w FROM windows),
+{LCS_SQL},
+part_best AS (SELECT windows.x, windows.y, max(r) AS r FROM windows JOIN lcs ON lcs.x = short AND lcs.y = w GROUP BY 1, 2),
+scored AS (SELECT src, tgt, CASE WHEN c.x = c.y THEN 1.0 ELSE 0.5 * lcs.r + 0.5 * greatest(lcs.r, 0.9 * coalesce(part_best.r, 0)) END AS score
+           FROM c JOIN lcs ON lcs.x = c.x AND lcs.y = c.y LEFT JOIN part_best ON part_best.x = c.x AND part_best.y = c.y),
+found AS (SELECT * FROM scored WHERE score >= 0.75 - 1e-12)
+SELECT src, tgt, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY src ORDER BY tgt) AS INTEGER) AS match_rank, row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) = 1 AS is_primary FROM found
+""")
 def fuzzy_linkage(spark, sf_dir):
     """Distinct part names among themselves by the blended name similarity; all matches, ranked."""
     names = part_names(spark, sf_dir)
@@ -344,20 +403,44 @@ def fuzzy_linkage(spark, sf_dir):
     return linkage.fuzzy_all(s, g, threshold=0.75).select("src", "tgt", r6("score").alias("score"), "match_rank", "is_primary")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {PART_SLICES_SQL},
+w AS (SELECT p_name, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]{{2,}}')) AS g, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS sorted, regexp_replace(p_name, '[^a-zA-Z0-9_]', '', 'g') AS k FROM n),
+t3 AS (SELECT p_name, g, sorted, list_distinct([k[i:i+2] for i in range(1, len(k) - 1)]) AS grams FROM w),
+words AS (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.g, b.g)) / len(a.g) AS score FROM w a, w b WHERE len(a.g) > 0),
+x AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM pairs WHERE score >= 0.3 - 1e-9),
+y AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM words WHERE score >= 0.5 - 1e-9),
+both_ AS (SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, x.score AS xs, y.score AS ys FROM (SELECT * FROM x WHERE rn <= 50) x FULL JOIN (SELECT * FROM y WHERE rn <= 50) y ON x.a = y.a AND x.b = y.b),
+full_ AS (SELECT both_.*, p.sorted AS sa, q.sorted AS sb,
+                coalesce(xs, CASE WHEN len(list_distinct(list_concat(p.grams, q.grams))) > 0 THEN len(list_intersect(p.grams, q.grams)) / len(list_distinct(list_concat(p.grams, q.grams))) ELSE 0 END) AS sl,
+                coalesce(ys, CASE WHEN len(list_distinct(list_concat(p.g, q.g))) > 0 THEN len(list_intersect(p.g, q.g)) / len(list_distinct(list_concat(p.g, q.g))) ELSE 0 END) AS wo
+          FROM both_ JOIN t3 p ON p.p_name = both_.a JOIN t3 q ON q.p_name = both_.b),
+need AS (SELECT a AS x, b AS y FROM full_ UNION SELECT sa, sb FROM full_),
+{LCS_SQL},
+scored AS (SELECT a, b, 0.4 * p.r + 0.3 * q.r + 0.2 * sl + 0.1 * wo AS score FROM full_ JOIN lcs p ON p.x = a AND p.y = b JOIN lcs q ON q.x = sa AND q.y = sb),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) AS rank FROM scored WHERE score >= 0.75 - 1e-12)
+SELECT a AS src, b AS tgt, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10
+""")
 def slice_matches(spark, sf_dir):
     names = part_names(spark, sf_dir)
     found = linkage.slice_matches(names.select(F.col("p_name").alias("src"), F.col("p_name").alias("s_name")), names.select(F.col("p_name").alias("tgt"), F.col("p_name").alias("t_name")))
     return found.select("src", "tgt", r6("score").alias("score"), "rank")
 
 
-@query()
+@query(f"""
+WITH {PART_SLICES_SQL},
+scored AS (SELECT a, b, CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.8 ELSE (greatest(len(a), len(b)) - levenshtein(a, b)) / greatest(len(a), len(b)) END AS score FROM pairs WHERE score >= 0.3 - 1e-9),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM scored WHERE score >= 0.7)
+SELECT a AS src, b AS tgt, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, 'p_name->p_name' AS matched,
+       CASE WHEN score >= 0.9 THEN 'very_high' WHEN score >= 0.8 THEN 'high' ELSE 'medium' END AS confidence, 'good_match' AS match_type FROM ranked WHERE rank <= 10
+""")
 def mapped_linkage(spark, sf_dir):
-    """User-mapped linkage of parts and their distinct names by the fallback strategy."""
+    """User-mapped linkage of the distinct part names by the fallback strategy."""
     from weftline.plans.mapping import Mapping, linked
 
-    names = part_names(spark, sf_dir).withColumn("id", F.xxhash64("p_name"))
-    return linked(names, names, [Mapping("p_name", "p_name", kind="levenshtein", primary=True)], "id", "id").drop("matched_fields")
+    names = part_names(spark, sf_dir)
+    found = linked(names, names, [Mapping("p_name", "p_name", kind="levenshtein", primary=True)], "p_name", "p_name")
+    return found.select("src", "tgt", r6("score").alias("score"), "rank", F.array_join("matched_fields", ",").alias("matched"), "confidence", "match_type")
 
 
 @query()
@@ -748,9 +831,18 @@ def field_quality(spark, sf_dir):
     return profile.field_quality(t(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query()
+@query("""
+WITH c AS (SELECT count(*) AS rows, count(o_orderkey) + count(o_custkey) + count(o_orderstatus) + count(o_totalprice) + count(o_orderdate) + count(o_orderpriority) AS there,
+                  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) AS again,
+                  CAST(count(*) FILTER (o_orderstatus IS NOT NULL AND TRY_CAST(o_orderstatus AS DOUBLE) IS NULL) = 0 AS INTEGER) + CAST(count(*) FILTER (o_orderpriority IS NOT NULL AND TRY_CAST(o_orderpriority AS DOUBLE) IS NULL) = 0 AS INTEGER) AS texts,
+                  count(*) FILTER (o_orderdate > TIMESTAMP '1998-01-01' OR o_orderdate < TIMESTAMP '1900-01-01') AS wrong FROM orders),
+s AS (SELECT least(1.2 * there / (rows * 6), 1.0) AS completeness, greatest(0.0, 1 - least(2 * again / rows, 0.5) - least(0.1 * texts, 0.3)) AS consistency, greatest(0.0, 1 - 2 * wrong / there) AS validity, there / (rows * 6) AS share FROM c)
+SELECT round(CAST(completeness AS DOUBLE), 6) AS completeness, round(CAST(consistency AS DOUBLE), 6) AS consistency, round(CAST(validity AS DOUBLE), 6) AS validity, round(CAST((completeness + consistency + validity) / 3 AS DOUBLE), 6) AS overall, completeness >= 0.6 AS valid FROM s
+""")
 def validation_overall(spark, sf_dir):
-    return profile.validation(t(spark, sf_dir, "orders"), F.to_timestamp(F.lit("2030-01-01")))
+    """Judged as of the first day of 1998, so that some dates lie in the future."""
+    found = profile.validation(t(spark, sf_dir, "orders"), F.to_timestamp(F.lit("1998-01-01")))
+    return found.select(*[r6(c).alias(c) for c in ("completeness", "consistency", "validity", "overall")], "valid")
 
 
 @query("""
@@ -760,24 +852,75 @@ def regex_field_types(spark, sf_dir):
     return profile.field_types(t(spark, sf_dir, "pages").select("url", "html")).select("column", "phone", "email", "field_type")
 
 
-@query()
+VALUE_TYPE_SQL = """
+SELECT '{c}' AS column, round(count(*) FILTER (TRY_CAST(v AS DOUBLE) IS NOT NULL) / count(*), 6) AS number, round(count(*) FILTER (TRY_CAST(v AS DOUBLE) IS NULL AND TRY_CAST(v AS TIMESTAMP) IS NOT NULL) / count(*), 6) AS date,
+       round(count(*) FILTER (TRY_CAST(v AS DOUBLE) IS NULL AND lower(v) IN ('true', 'false', 'yes', 'no', 'y', 'n')) / count(*), 6) AS boolean, count(*) AS n FROM (SELECT trim(CAST({c} AS VARCHAR)) AS v FROM orders) WHERE v <> ''"""
+
+
+@query("SELECT *, CASE WHEN n = 0 THEN 'unknown' WHEN number > 0.8 THEN 'number' WHEN date > 0.8 THEN 'date' WHEN boolean > 0.8 THEN 'boolean' ELSE 'string' END AS data_type FROM (" + union_sql(VALUE_TYPE_SQL, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]) + ")")
 def value_types(spark, sf_dir):
-    return profile.value_types(t(spark, sf_dir, "orders"))
+    found = profile.value_types(t(spark, sf_dir, "orders"))
+    return found.select("column", *[r6(c).alias(c) for c in ("number", "date", "boolean")], "n", "data_type")
 
 
-@query()
+def share_sql(table: str, column: str, looks: dict[str, str]) -> str:
+    """Shares of a column's values that match patterns, in SQL."""
+    found = ", ".join(f"coalesce(round(count(*) FILTER (regexp_matches(v, '{p}')) / nullif(count(*), 0), 6), 0.0) AS {k}" for k, p in looks.items())
+    return f"SELECT '{column}' AS column, {found}, coalesce(avg(len(v)), 0) AS length, count(*) FILTER (TRY_CAST(v AS TIMESTAMP) IS NOT NULL) / nullif(count(*), 0) AS date FROM (SELECT CAST({column} AS VARCHAR) AS v FROM {table}) WHERE v <> ''"
+
+
+#: A registry in Chinese of the customers, in SQL: what chinese_registry() makes.
+REGISTRY_SQL = """
+registry AS (SELECT c_custkey, '上海' || core || business || '有限公司' AS name, '上海市' || district || '区' || road || '路' || CAST(number AS VARCHAR) || '号' AS address, core || '先生' AS person, '1380000' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS contact FROM (
+  SELECT c_custkey, string_split('宏达 永兴 华美 金源 瑞丰 长江', ' ')[c_custkey % 6 + 1] AS core, string_split('电子 机械 贸易 食品 物流', ' ')[c_custkey % 11 % 5 + 1] AS business,
+         string_split('虹口 杨浦 静安 徐汇 长宁', ' ')[c_nationkey % 5 + 1] AS district, string_split('天宝 四平 南京 中山 延安', ' ')[c_custkey % 7 % 5 + 1] AS road, c_custkey % 900 + 1 AS number FROM customer))"""
+
+
+def registry_columns(spark, sf_dir) -> DataFrame:
+    """The registry with a person and a phone number."""
+    k = F.col("c_custkey")
+    person = F.concat(F.element_at(F.array(*[F.lit(w) for w in "宏达 永兴 华美 金源 瑞丰 长江".split()]), (k % 6 + 1).cast("int")), F.lit("先生"))
+    return chinese_registry(spark, sf_dir).select("c_custkey", "name", "address", person.alias("person"), F.concat(F.lit("1380000"), F.lpad((k % 10000).cast("string"), 4, "0")).alias("contact"))
+
+
+SEMANTIC = {"phone": profile.PHONE.replace("\\", "\\"), "email": T.EMAIL, "id_card": profile.ID_NUMBER, "credit_code": T.CREDIT_CODE}
+ROLES = {"organisation": f"({profile.ORGANISATION_WORDS})", "person": "^[一-鿿]{2,4}$|^[A-Za-z ]+ [A-Za-z ]+$", "place": f"({profile.PLACE_HINTS})", "identifier": f"{T.CREDIT_CODE}|{profile.ID_NUMBER}|{profile.PHONE}"}
+
+
+@query(f"""
+WITH {REGISTRY_SQL}, f AS ({" UNION ALL ".join(share_sql("registry", c, SEMANTIC) for c in ("person", "contact"))} UNION ALL {share_sql("orders", "o_orderpriority", SEMANTIC)})
+SELECT "column", CASE WHEN phone > 0.8 THEN 'phone' WHEN email > 0.8 THEN 'email' WHEN id_card > 0.8 THEN 'id_card' WHEN credit_code > 0.8 THEN 'credit_code' WHEN date > 0.8 THEN 'date' WHEN length > 50 THEN 'long_text' ELSE 'text' END AS semantic_type FROM f
+UNION ALL SELECT 'c_custkey', 'integer' UNION ALL SELECT 'name', 'name' UNION ALL SELECT 'address', 'address'
+""")
 def semantic_types(spark, sf_dir):
-    return profile.semantic_types(t(spark, sf_dir, "customer"))
+    """By name and storage where they tell, else by the values."""
+    registry = profile.semantic_types(registry_columns(spark, sf_dir))
+    return registry.unionByName(profile.semantic_types(t(spark, sf_dir, "orders"), ["o_orderpriority"]))
 
 
-@query()
+@query(f"""
+WITH {REGISTRY_SQL}, f AS ({" UNION ALL ".join(share_sql("registry", c, ROLES) for c in ("name", "address", "person", "contact"))})
+SELECT "column", organisation, person, place, identifier, array_to_string(list_filter([CASE WHEN organisation > 0.3 THEN 'organisation' END, CASE WHEN person > 0.5 THEN 'person' END, CASE WHEN place > 0.3 THEN 'place' END, CASE WHEN identifier > 0.8 THEN 'identifier' END], lambda x: x IS NOT NULL), ',') AS roles FROM f
+""")
 def field_roles(spark, sf_dir):
-    return profile.field_roles(t(spark, sf_dir, "supplier"))
+    found = profile.field_roles(registry_columns(spark, sf_dir), ["name", "address", "person", "contact"])
+    return found.select("column", *[r6(c).alias(c) for c in ROLES], F.array_join("roles", ",").alias("roles"))
 
 
-@query()
+def content_sql(column: str) -> str:
+    """Mean company and address score of a column of the registry, in SQL."""
+    def hits(p: str) -> str:
+        return f"len(regexp_extract_all(v, '{p}'))"
+
+    company = f"CASE WHEN regexp_matches(v, '({profile.COMPANY_TAILS})$') THEN 0.8 ELSE 0.0 END + least(0.4, 0.1 * {hits(profile.ORGANISATION_WORDS)}) - CASE WHEN {hits(profile.PLACE_HINTS)} > 2 THEN 0.3 ELSE 0.0 END + CASE WHEN len(v) BETWEEN 4 AND 50 THEN 0.2 WHEN len(v) > 50 THEN -0.2 ELSE 0.0 END - CASE WHEN regexp_matches(v, '[0-9]{{2,}}') THEN 0.1 ELSE 0.0 END"
+    place = f"least(0.8, 0.15 * {hits(profile.PLACE_HINTS)}) + CASE WHEN regexp_matches(v, '[0-9]+号') THEN 0.3 ELSE 0.0 END + CASE WHEN regexp_matches(v, '[0-9]+[楼层]') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(v, '[0-9]+室') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(v, '[^市]+市.*[区县]') THEN 0.4 WHEN regexp_matches(v, '[省市区县]') THEN 0.2 ELSE 0.0 END - CASE WHEN regexp_matches(v, '({profile.COMPANY_TAILS})') THEN 0.4 ELSE 0.0 END + CASE WHEN len(v) BETWEEN 8 AND 100 THEN 0.1 WHEN len(v) < 8 THEN -0.2 ELSE 0.0 END"
+    return f"SELECT '{column}' AS column, round(CAST(avg(CASE WHEN len(v) >= 2 THEN greatest(0.0, least(1.0, {company})) ELSE 0.0 END) AS DOUBLE), 6) AS company, round(CAST(avg(CASE WHEN len(v) >= 3 THEN greatest(0.0, least(1.0, {place})) ELSE 0.0 END) AS DOUBLE), 6) AS address FROM (SELECT trim({column}) AS v FROM registry) WHERE len(v) >= 1"
+
+
+@query(f"WITH {REGISTRY_SQL}, f AS ({' UNION ALL '.join(map(content_sql, ('name', 'address', 'person')))}) SELECT *, CASE WHEN company > address AND company > 0.3 THEN 'company_name' WHEN address > company AND address > 0.3 THEN 'address' ELSE 'unknown' END AS content FROM f")
 def content_scores(spark, sf_dir):
-    return profile.content_scores(t(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
+    found = profile.content_scores(registry_columns(spark, sf_dir), ["name", "address", "person"])
+    return found.select("column", r6("company").alias("company"), r6("address").alias("address"), "content")
 
 
 # --- graphs -------------------------------------------------------------------------------------------------
@@ -897,14 +1040,30 @@ def kg_triple_quality(spark, sf_dir):
     return out.select("n", *[r6(c).alias(c) for c in ("mean", "complete", "evidence", "high", "score")])
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {KG_SQL}, flat AS (SELECT DISTINCT least(s, o) AS a, greatest(s, o) AS b FROM tr WHERE s <> o),
+tri AS (SELECT count(*) AS triangles FROM flat x JOIN flat y ON x.b = y.a JOIN flat z ON z.a = x.a AND z.b = y.b),
+both_ways AS (SELECT a AS u, b AS v FROM flat UNION SELECT b, a FROM flat),
+x(id, root) AS (SELECT id, id FROM e UNION SELECT both_ways.v, x.root FROM x JOIN both_ways ON both_ways.u = x.id WHERE both_ways.v IN (SELECT id FROM e)),
+sizes AS (SELECT root, count(*) AS n FROM (SELECT id, min(root) AS root FROM x GROUP BY 1) GROUP BY 1),
+f AS (SELECT (SELECT count(*) FROM e) AS nodes, (SELECT count(*) FROM tr) AS edges, triangles, (SELECT count(*) FROM sizes) AS components, (SELECT max(n) FROM sizes) AS largest FROM tri),
+g AS (SELECT *, edges / (nodes * (nodes - 1)) AS density, largest / nodes AS connectivity, triangles / (CAST(nodes AS DOUBLE) * (nodes - 1) * (nodes - 2) / 6) AS clustering, CASE WHEN nodes > 1 THEN ln(nodes) ELSE 1.0 END AS path_length FROM f)
+SELECT nodes, edges, triangles, components, largest, round(density, 9) AS density, round(connectivity, 6) AS connectivity, round(clustering, 9) AS clustering, round(path_length, 6) AS path_length,
+       round(0.3 * connectivity + 0.25 * least(density * 10, 1.0) + 0.25 * clustering + 0.2 / greatest(path_length, 1.0), 6) AS score FROM g
+""")
 def kg_structure(spark, sf_dir):
-    return graph.structure(*toy_graph(spark, sf_dir))
+    out = graph.structure(*toy_graph(spark, sf_dir))
+    return out.select("nodes", "edges", "triangles", "components", "largest", F.round("density", 9).alias("density"), r6("connectivity").alias("connectivity"), F.round("clustering", 9).alias("clustering"), r6("path_length").alias("path_length"), r6("score").alias("score"))
 
 
-@query()
+@query(f"""
+WITH {KG_SQL}, used AS (SELECT s AS id FROM tr UNION SELECT o FROM tr),
+f AS (SELECT (SELECT avg(CASE WHEN id IN (SELECT id FROM e) THEN 1.0 ELSE 0.0 END) FROM used) AS reference_share, (SELECT avg(CASE WHEN p = 'REPRESENTS' OR substr(s, 1, 1) = 'c' THEN 1.0 ELSE 0.0 END) FROM tr) AS type_share, 1.0 AS data_share, 1.0 AS time_share)
+SELECT round(reference_share, 6) AS reference_share, round(type_share, 6) AS type_share, CAST(data_share AS DOUBLE) AS data_share, CAST(time_share AS DOUBLE) AS time_share, round(0.3 * reference_share + 0.3 * type_share + 0.4, 6) AS score FROM f
+""")
 def kg_consistency(spark, sf_dir):
-    return graph.graph_consistency(*toy_graph(spark, sf_dir))
+    out = graph.graph_consistency(*toy_graph(spark, sf_dir))
+    return out.select(*[r6(c).alias(c) for c in ("reference_share", "type_share", "data_share", "time_share", "score")])
 
 
 @query(f"""
@@ -926,14 +1085,17 @@ def cooccurrence(spark, sf_dir):
     return graph.cooccurrence(o)
 
 
-@query()
+@query(f"""WITH {KG_SQL} SELECT 'kg:' || id || ' a kg:' || type || ' ; kg:label "' || replace(label, '"', chr(92) || '"') || '" .' AS value FROM e UNION ALL SELECT 'kg:' || s || ' kg:' || p || ' kg:' || o || ' .' FROM tr""")
 def kg_export_turtle(spark, sf_dir):
     from weftline.sources.writers import turtle
 
     return turtle(*toy_graph(spark, sf_dir))
 
 
-@query()
+@query(f"""
+WITH {KG_SQL} SELECT 'CREATE (:' || type || ' {{id: "' || id || '", label: "' || label || '", `label`: "' || label || '"}})' AS value FROM e
+UNION ALL SELECT 'MATCH (s {{id: "' || s || '"}}), (o {{id: "' || o || '"}}) CREATE (s)-[:' || p || ' {{confidence: ' || CAST(CAST(c AS DOUBLE) AS VARCHAR) || '}}]->(o)' FROM tr
+""")
 def kg_export_cypher(spark, sf_dir):
     from weftline.sources.writers import cypher
 
