@@ -99,7 +99,7 @@ def part_labels(spark, sf_dir) -> DataFrame:
 
 @query(f"""
 WITH {LABEL_SQL},
-s AS (SELECT id, name, {SLICES_SQL} AS g FROM (SELECT id, name, regexp_replace(name, '[^a-zA-Z0-9_]', '', 'g') AS k FROM l)),
+s AS (SELECT id, name, list_distinct([k[i:i+2] for i in range(1, len(k) - 1)]) AS g FROM (SELECT id, name, regexp_replace(name, '[^a-zA-Z0-9_]', '', 'g') AS k FROM l)),
 tok AS (SELECT id, len(g) AS n, unnest(g) AS token FROM s),
 hits AS (SELECT a.id AS src, b.id AS tgt, count(*) AS h, any_value(a.n) AS n FROM tok a JOIN tok b USING (token) WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY 1, 2),
 pairs AS (SELECT src, tgt, a.name AS x, b.name AS y FROM hits JOIN l a ON a.id = src JOIN l b ON b.id = tgt WHERE h / n >= 0.5 - 1e-9),
@@ -108,8 +108,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, tg
 SELECT src, tgt, round(score, 6) AS score FROM ranked WHERE rn = 1
 """)
 def link_part_labels(spark, sf_dir):
-    """Parts of even keys with the likest of odd keys, by blocked slices of as many distinct names as there are parts."""
-    labels = kept(part_labels(spark, sf_dir).withColumn("tokens", T.slices(F.col("name"))), "labels")
+    """Parts of even keys with the likest of odd keys, by blocked 3-grams of as many distinct names as there are parts."""
+    labels = kept(part_labels(spark, sf_dir).withColumn("tokens", T.ngrams(F.col("name"), 3)), "labels")
     s = labels.filter("id % 2 = 0").select(F.col("id").alias("src"), F.col("name").alias("s_name"), "tokens")
     g = labels.filter("id % 2 = 1").select(F.col("id").alias("tgt"), F.col("name").alias("t_name"), "tokens")
     pairs = blocking.token_join(s.select("src", "tokens"), g.select("tgt", "tokens"), 0.5).select("src", "tgt").join(s.drop("tokens"), "src").join(g.drop("tokens"), "tgt")

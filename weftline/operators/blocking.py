@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Tokens that a pair must share among those looked up (k above), where it must share that many at all.
 HITS = 3
+#: How many times the postings of the rarest tokens make others too dear to look up.
+FAR_MORE = 4
 
 
 def token_index(rows: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -41,16 +43,23 @@ def keyword_index(rows: DataFrame, id_col: str, fields: dict[str, str], table: s
 
 def token_join(source: DataFrame, target: DataFrame, least: float) -> DataFrame:
     """source (src, tokens), target (tgt, tokens), tokens distinct -> (src, tgt, hits, score), score = hits / number of
-    the source's tokens, at least `least` (over 0)."""
+    the source's tokens, at least `least` (over 0).
+
+    How many hits are asked for (k) is chosen by each source: HITS, or 1 where that many more tokens would be looked up in
+    far more postings than the few of the rarest ones have."""
     n = F.size("tokens")
     needed = F.greatest(F.lit(1), F.ceil(n * F.lit(least) - 1e-9))
-    sure = F.least(needed, F.lit(HITS))
+    most = F.least(needed, F.lit(HITS))
     postings = target.select("tgt", F.explode("tokens").alias("token"))
     frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
-    asked = source.filter(n > 0).select("src", (n - needed + sure).alias("prefix"), sure.alias("sure"), F.explode("tokens").alias("token")).join(frequency, "token", "left")
-    order = Window.partitionBy("src").orderBy(F.coalesce("df", F.lit(0)), "token")
-    asked = asked.withColumn("rn", F.row_number().over(order)).filter((F.col("rn") <= F.col("prefix")) & F.col("df").isNotNull()).select("src", "sure", "token")
-    pairs = asked.join(postings, "token").groupBy("src", "tgt").agg(F.count("*").alias("c"), F.first("sure").alias("sure")).filter("c >= sure").select("src", "tgt")
+    asked = source.filter(n > 0).select("src", (n - needed).alias("spare"), most.alias("most"), F.explode("tokens").alias("token")).join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = Window.partitionBy("src").orderBy("df", "token")
+    whole = Window.partitionBy("src")
+    ranked = asked.withColumn("rn", F.row_number().over(rarest))
+    few, many = (F.sum(F.when(F.col("rn") <= F.col("spare") + k, F.col("df")).otherwise(0)).over(whole) for k in (F.lit(1), F.col("most")))
+    ranked = ranked.withColumn("few", few).withColumn("many", many).withColumn("sure", F.when(F.col("few") * FAR_MORE <= F.col("many"), 1).otherwise(F.col("most")))
+    looked = ranked.filter((F.col("rn") <= F.col("spare") + F.col("sure")) & (F.col("df") > 0)).select("src", "sure", "token")
+    pairs = looked.join(postings, "token").groupBy("src", "tgt").agg(F.count("*").alias("c"), F.first("sure").alias("sure")).filter("c >= sure").select("src", "tgt")
     both = pairs.join(source.select("src", F.col("tokens").alias("a")), "src").join(target.select("tgt", F.col("tokens").alias("b")), "tgt")
     hits = F.size(F.array_intersect("a", "b"))
     return both.select("src", "tgt", hits.cast("long").alias("hits"), (hits / F.size("a")).alias("score")).filter(F.col("score") >= least - 1e-9)
