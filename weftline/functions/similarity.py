@@ -18,8 +18,15 @@ def guarded(a: Column, b: Column, score: Column) -> Column:
 
 def set_jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct values."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+    common = F.size(F.array_intersect(a, b))
+    every = F.size(a) + F.size(b) - common
+    return F.when(every > 0, common / every).otherwise(0.0)
+
+
+def over_jaccard(a: Column, b: Column, least: float) -> Column:
+    """Whether two arrays of distinct values have a Jaccard similarity over `least`, which sizes alone rule out for most."""
+    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    return (small > large * F.lit(least)) & (set_jaccard(a, b) > least)
 
 
 def char_jaccard(a: Column, b: Column) -> Column:
