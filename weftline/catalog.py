@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from weftline.functions import normalize as N
 from weftline.functions import similarity as S
 from weftline.functions import tokens as T
 from weftline.operators import blocking, graph, incremental, linkage, profile, scoring, stats
-from weftline.session import kept
+from weftline.session import kept, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,7 +22,7 @@ ORACLES: dict[str, str] = {}
 #: Columns of SQL literals, which would be decimals.
 DOUBLES = {
     "contains_pair_score": ["contained"], "phone_rules": ["score"], "regex_field_types": ["phone", "email"], "kg_triples": ["confidence"], "kg_inverse": ["confidence"], "kg_transitive": ["confidence"],
-    "kg_entity_quality": ["complete"], "kg_relation_quality": ["complete"], "kg_triple_quality": ["complete", "high"],
+    "kg_entity_quality": ["complete"], "kg_relation_quality": ["complete"], "kg_triple_quality": ["complete", "high"], "kg_field_names": ["confidence"], "kg_search": ["confidence"], "kg_relation_types": ["confidence"],
 }
 
 
@@ -167,6 +168,21 @@ def prioritised_candidates(spark, sf_dir):
     return out.select("src", "tgt", "priority", r6("score").alias("score"), "rank")
 
 
+@query(f"""
+WITH {PART_SLICES_SQL}, w AS (SELECT p_name, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]{{2,}}')) AS g FROM n),
+own AS (SELECT a, b, score, 'first' AS step FROM pairs WHERE score >= 0.6 - 1e-9),
+words AS (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.g, b.g)) / len(a.g) AS score FROM w a, w b WHERE len(a.g) > 0),
+extra AS (SELECT a, b, score, 'more' AS step FROM words WHERE score >= 0.5 - 1e-9 AND a NOT IN (SELECT a FROM own GROUP BY a HAVING count(*) >= 3) AND NOT EXISTS (SELECT 1 FROM own WHERE own.a = words.a AND own.b = words.b)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM (SELECT * FROM own UNION ALL SELECT * FROM extra))
+SELECT a AS src, b AS tgt, round(score, 6) AS score, step, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5
+""")
+def topped_up_candidates(spark, sf_dir):
+    """Candidates by slices, topped up by shared words where they are few."""
+    words = part_names(spark, sf_dir).select(F.col("p_name").alias("src"), T.words(F.col("p_name")).alias("tokens"))
+    by_word = blocking.token_join(words, words.withColumnRenamed("src", "tgt"), 0.5)
+    return blocking.topped_up(name_pairs(spark, sf_dir, 0.6), by_word).select("src", "tgt", r6("score").alias("score"), "step", "rank")
+
+
 NAME_CROSS_SQL = "n AS (SELECT DISTINCT p_name FROM part), p AS (SELECT a.p_name AS a, b.p_name AS b FROM n a, n b WHERE a.p_name < b.p_name)"
 
 
@@ -1122,3 +1138,110 @@ def event_session(spark, sf_dir):
     from weftline.streaming.incremental import sessions
 
     return sessions(t(spark, sf_dir, "events"), "30 minutes", "user_id").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+# --- files --------------------------------------------------------------------------------------------------
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment || ', \"' || c_mktsegment || '\"' END AS c_mktsegment FROM customer")
+def csv_round_trip(spark, sf_dir):
+    """Customers exported as CSV, with quotes, commas and words for nothing, and read back with types."""
+    from weftline.sources.readers import read_csv
+    from weftline.sources.writers import write_csv
+
+    path = folder(spark, "customers-csv")
+    quoted = F.concat("c_mktsegment", F.lit(', "'), "c_mktsegment", F.lit('"'))
+    write_csv(t(spark, sf_dir, "customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, "N/A").otherwise(quoted)), path)
+    return read_csv(spark, path)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || chr(10) || 'second line' AS n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def csv_lines_as_text(spark, sf_dir):
+    """Nations with line breaks in their names as CSV, read back as text."""
+    from weftline.sources.readers import read_csv
+    from weftline.sources.writers import write_csv
+
+    path = folder(spark, "nations-csv")
+    write_csv(t(spark, sf_dir, "nation").withColumn("n_name", F.concat("n_name", F.lit("\nsecond line"))), path)
+    return read_csv(spark, path, strings_only=True)
+
+
+@query("SELECT DISTINCT p_brand, p_type FROM part WHERE p_brand <> 'Brand#1'")
+def cleaned_rows(spark, sf_dir):
+    """Rows and columns of nulls dropped, names trimmed, equal rows once."""
+    from weftline.sources.readers import cleaned
+
+    brand = F.when(F.col("p_brand") != "Brand#1", F.col("p_brand"))
+    return cleaned(t(spark, sf_dir, "part").select(brand.alias(" p_brand"), F.when(F.col("p_brand") != "Brand#1", F.col("p_type")).alias("p_type "), F.lit(None).cast("string").alias("nothing")))
+
+
+UPSERT_SQL = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 3 = 0 OR o_orderstatus <> 'P'"
+
+
+def upserted(spark, sf_dir, name: str, sink) -> DataFrame:
+    """Settled orders stored, then every third order with another price upserted twice."""
+    orders, path = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price")), folder(spark, name)
+    sink(spark, orders.filter("o_orderstatus <> 'P'").drop("o_orderstatus"), path, "o_orderkey")
+    new = orders.filter("o_orderkey % 3 = 0").select("o_orderkey", (F.col("price") + 1).alias("price"))
+    for _ in range(2):
+        out = sink(spark, new, path, "o_orderkey")
+    return out.select("o_orderkey", "price")
+
+
+@query(UPSERT_SQL)
+def upsert_sink(spark, sf_dir):
+    from weftline.sources.writers import upsert_table
+
+    return upserted(spark, sf_dir, "results", upsert_table)
+
+
+@query(UPSERT_SQL)
+def upsert_parts_sink(spark, sf_dir):
+    from weftline.sources.writers import upsert_parts
+
+    return upserted(spark, sf_dir, "parted", lambda *x: upsert_parts(*x, parts=16))
+
+
+@query(f"WITH {KG_SQL} SELECT DISTINCT p AS predicate, s AS subject_id, o AS object_id, 'toy' AS project_name FROM tr WHERE s IN (SELECT id FROM e) AND o IN (SELECT id FROM e)")
+def kg_edge_sink(spark, sf_dir):
+    """Edges of a project whose ends exist, upserted twice."""
+    from weftline.sources.writers import upsert_edges
+
+    e, tr = toy_graph(spark, sf_dir)
+    path = folder(spark, "edges")
+    for _ in range(2):
+        out = upsert_edges(spark, tr, e, path, "toy")
+    return out.select("predicate", "subject_id", "object_id", "project_name")
+
+
+@query(f"""
+WITH {KG_SQL} SELECT 'relation:' || p AS relation_id, p AS type, p = 'SIMILAR_TO' AS is_symmetric, p IN ('LOCATED_IN', 'SIMILAR_TO') AS is_transitive, CASE p WHEN 'REPRESENTS' THEN 'MANAGED_BY' WHEN 'MANAGED_BY' THEN 'REPRESENTS' ELSE '' END AS inverse, count(*) AS n, round(avg(c), 6) AS confidence FROM tr GROUP BY p
+""")
+def kg_relation_types(spark, sf_dir):
+    return graph.relation_types(toy_graph(spark, sf_dir)[1]).select("relation_id", "type", "is_symmetric", "is_transitive", "inverse", "n", r6("confidence").alias("confidence"))
+
+
+@query(f"""
+WITH {KG_SQL}, hit AS (SELECT 'entity' AS kind, id, label, confidence FROM e WHERE contains(lower(label), '00001'))
+SELECT kind, id, label, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (ORDER BY confidence DESC, id) AS rn FROM hit) WHERE rn <= 20
+UNION ALL SELECT 'triple', s || '|' || p || '|' || o, s || ' ' || p || ' ' || o, round(c, 6) FROM (SELECT *, row_number() OVER (ORDER BY c DESC, s || '|' || p || '|' || o) AS rn FROM tr WHERE contains(s, '00001') OR contains(o, '00001')) WHERE rn <= 20
+""")
+def kg_search(spark, sf_dir):
+    """Entities and triples that hold a text, the most confident of each."""
+    return graph.search(*toy_graph(spark, sf_dir), "00001").withColumn("confidence", r6("confidence"))
+
+
+@query("""
+SELECT substr(md5('LOCATION:' || lower('市' || n_name)), 1, 16) AS subject_id, 'LOCATED_IN' AS predicate, substr(md5('ORGANIZATION:' || lower(c_name)), 1, 16) AS object_id, round(0.9 * 0.8, 6) AS confidence FROM customer JOIN nation ON n_nationkey = c_nationkey
+""")
+def kg_field_names(spark, sf_dir):
+    """Relations that the names of two columns tell."""
+    rows = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(F.lit("市"), "n_name").alias("address"), "c_name")
+    entities = graph.extracted(rows, "c_custkey", {graph.ORGANISATION: ["c_name"], graph.LOCATION: ["address"]}, "customer")
+    found = graph.field_name_triples(entities, ["address", "c_name"], lambda a, b: 0.9)
+    return found.select("subject_id", "predicate", "object_id", r6("confidence").alias("confidence"))

@@ -109,3 +109,12 @@ def prioritised(cap: int, *steps: DataFrame) -> DataFrame:
     best = reduce(DataFrame.unionByName, ranked).groupBy("src", "tgt").agg(F.min("priority").alias("priority"), F.max("score").alias("score"))
     order = Window.partitionBy("src").orderBy("priority", F.desc("score"), "tgt")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
+
+
+def topped_up(first: DataFrame, more: DataFrame, enough: int = 3, keep: int = 5) -> DataFrame:
+    """(src, tgt, score, step): the pairs of a first method; sources with fewer than `enough` of those also have the pairs
+    of a second one that the first lacks; the best `keep` of each source."""
+    own = first.select("src", "tgt", "score", F.lit("first").alias("step"))
+    short = own.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") >= enough)
+    extra = more.select("src", "tgt", "score", F.lit("more").alias("step")).join(short.select("src"), "src", "left_anti").join(own.select("src", "tgt"), ["src", "tgt"], "left_anti")
+    return top(own.unionByName(extra.select("src", "tgt", "score", "step")), keep)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +34,7 @@ TRIGGERS = {
 }
 INVERSE, INVERSE_FACTOR = {MANAGED_BY: REPRESENTS, REPRESENTS: MANAGED_BY}, 0.9
 TRANSITIVE = {LOCATED_IN: 0.8, SIMILAR_TO: 0.7}
+FIELD_RELATIONS = ((LOCATED_IN, ("address", "地址")), (MANAGED_BY, ("manager", "负责", "法人")), (CONTACT_OF, ("phone", "contact", "电话")))
 LEAST_CONFIDENCE, VIOLATION = 0.3, 0.5
 RELATED_HINTS = {ORGANISATION: ("地址", "电话", "法人", "代表", "联系", "注册", "成立", "规模"), PERSON: ("电话", "邮箱", "职位", "部门", "年龄", "性别"), LOCATION: ("邮编", "区域", "经度", "纬度", "行政区")}
 # --------------------------------------------------------------------------------------------------------
@@ -164,6 +166,66 @@ def text_triples(texts: DataFrame, column: str, entities: DataFrame) -> DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
+def field_relation(subject_column: str, object_column: str) -> str | None:
+    """What the names of two columns say about how their entities are related."""
+    a, b = subject_column.lower(), object_column.lower()
+    if not ("name" in b or "名称" in b):
+        return None
+    return next((relation for relation, hints in FIELD_RELATIONS if any(h in a for h in hints)), None)
+
+
+def field_name_triples(entities: DataFrame, columns: list[str], similarity: Callable[[str, str], float], least: float = 0.7, factor: float = 0.8) -> DataFrame:
+    """Triples between entities of one record whose columns have like names (over `least`), each column with those after it,
+    where the names tell a relation. Only names are compared on the driver."""
+    keys, parts = ["source_table", "source_record_id"], []
+    for i, a in enumerate(columns):
+        for b in columns[i + 1 :]:
+            relation, score = field_relation(a, b), similarity(a, b)
+            if relation is None or score <= least:
+                continue
+            s, o = (entities.filter(F.col("source_column") == c).select(*keys, F.col("id").alias(f"{x}_id"), F.col("label").alias(f"{x}_label"), F.col("type").alias(f"{x}_type")) for c, x in ((a, "subject"), (b, "object")))
+            both = s.join(o, keys)
+            parts.append(both.select("subject_id", "subject_label", "subject_type", F.lit(relation).alias("predicate"), "object_id", "object_label", "object_type", F.lit(score * factor).alias("confidence"), F.concat(F.lit("field_semantics:"), "source_table").alias("source"), F.array(F.lit(f"field_similarity:{score:.3f}")).alias("evidence")))
+    if parts:
+        return reduce(DataFrame.unionByName, parts)
+    none = rule_triples(entities, LOCATED_IN, "", "").limit(0)
+    return none.select(*TRIPLE)
+
+
+def relation_types(triples: DataFrame) -> DataFrame:
+    """A node for each relation type that occurs: what it may join, its inverse, whether it is symmetric or transitive, and the
+    number and mean confidence of its triples. Upserted by relation_id."""
+    known = {r: ("|".join(s), "|".join(o)) for r, (s, o, _) in RULES.items()}
+
+    def of(values: dict[str, str]) -> Column:
+        out = F.lit("")
+        for k, v in values.items():
+            out = F.when(F.col("predicate") == k, v).otherwise(out)
+        return out
+
+    rows = triples.groupBy("predicate").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"))
+    return rows.select(
+        F.concat(F.lit("relation:"), "predicate").alias("relation_id"), F.col("predicate").alias("type"), of({k: v[0] for k, v in known.items()}).alias("domain"), of({k: v[1] for k, v in known.items()}).alias("range"),
+        of(INVERSE).alias("inverse"), (F.col("predicate") == SIMILAR_TO).alias("is_symmetric"), F.col("predicate").isin(*TRANSITIVE).alias("is_transitive"), "n", "confidence",
+    )
+
+
+def search(entities: DataFrame, triples: DataFrame, words: str, kind: str = "all", limit: int = 20) -> DataFrame:
+    """Entities whose label, and triples of which a part's label, holds a text in any case: (kind, id, label, confidence), the
+    `limit` most confident of each kind, ties by id."""
+    def holds(*columns: str) -> Column:
+        return reduce(lambda a, b: a | b, [F.lower(F.col(c)).contains(words.lower()) for c in columns])
+
+    found = []
+    if kind in ("entities", "all"):
+        found.append(entities.filter(holds("label")).select(F.lit("entity").alias("kind"), "id", "label", "confidence"))
+    if kind in ("relations", "all"):
+        hit = triples.filter(holds("subject_label", "predicate", "object_label"))
+        found.append(hit.select(F.lit("triple").alias("kind"), F.concat_ws("|", "subject_id", "predicate", "object_id").alias("id"), F.concat_ws(" ", "subject_label", "predicate", "object_label").alias("label"), "confidence"))
+    best = [x.orderBy(F.desc("confidence"), "id").limit(limit) for x in found]
+    return reduce(DataFrame.unionByName, best)
+
+
 def similar_triples(entities: DataFrame, least: float = 0.8) -> DataFrame:
     """SIMILAR_TO between organisations of like characters, each pair once. Labels are compared once each."""
     from weftline.operators.blocking import self_pairs

@@ -82,14 +82,18 @@ def free_name(spark: SparkSession, name: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, strings_only: bool = False, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
     """A delimited file with a header, its encoding and delimiter detected. strings_only: all columns as they are
-    written; otherwise tokens for nothing are null and types are inferred from the values."""
+    written; otherwise tokens for nothing are null and types are inferred from the values. A file without quoted
+    line breaks is read in splits, one with any as a whole."""
     data = head(spark, path)
     encoding = encoding or detect_encoding(data)
     delimiter = delimiter or detect_delimiter(data.decode(encoding, "ignore"))
     java = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gbk": "GBK", "gb18030": "GB18030", "big5": "Big5", "latin-1": "ISO-8859-1"}[encoding]
     if java in ("GBK", "GB18030", "Big5"):  # Spark reads these only under this setting
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    rows = spark.read.option("header", True).option("encoding", java).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", True).option("nullValue", "\x00").option("emptyValue", "").csv(path)
+    # a quoted line break leaves a line with an odd number of quotes; without one the file can be split
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    rows = spark.read.option("header", True).option("encoding", java).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", broken).option("nullValue", "\x00").option("emptyValue", "").csv(path)
     rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
     return rows if strings_only else typed(nulled(rows))
 

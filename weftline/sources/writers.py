@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.values import first_present
 from weftline.operators.incremental import upsert
+from weftline.session import kept
 
 
 def percent(value: Column) -> Column:
@@ -33,28 +34,56 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table, after an overwrite that broke off between its two moves is undone."""
+    fs, now = _hadoop(spark, path)
+    _, old = _hadoop(spark, f"{path}.old")
+    if not fs.exists(now) and fs.exists(old):
+        fs.rename(old, now)
+    return fs.exists(now)
+
+
 def overwrite(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
-    """Replaces a table by rows that may derive from it: written beside it first, then moved into its place."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, now = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
-    fs = now.getFileSystem(conf)
+    """Replaces a table by rows that may derive from it: written beside it first, then moved into its place. The old table
+    is moved aside and deleted last, so that at no time it is lost; recovered() puts it back."""
+    fs, now = _hadoop(spark, path)
+    (_, new), (_, old) = _hadoop(spark, f"{path}.new"), _hadoop(spark, f"{path}.old")
+    recovered(spark, path)
     rows.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(now, True)
-    if not fs.rename(new, now):
+    fs.delete(old, True)
+    if (fs.exists(now) and not fs.rename(now, old)) or not fs.rename(new, now):
         raise OSError(f"{path}.new could not be moved")
+    fs.delete(old, True)
     return spark.read.parquet(path)
 
 
 def upsert_table(spark: SparkSession, new: DataFrame, path: str, key: str | list[str]) -> DataFrame:
     """Writes rows to a keyed table: those of a key replace what is there. Doing it twice changes nothing."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if not recovered(spark, path):
         new.write.parquet(path)
         return spark.read.parquet(path)
     return overwrite(spark, upsert(spark.read.parquet(path), new, key), path)
 
 
+def upsert_parts(spark: SparkSession, new: DataFrame, path: str, key: str | list[str], parts: int = 256) -> DataFrame:
+    """The same for a table of many rows and few new ones: it is parted by a hash of the key (column key_part), and only the
+    parts that new rows fall in are read and written again."""
+    keys = [key] if isinstance(key, str) else key
+    new = kept(new.withColumn("key_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")), "new")
+    fs, at = _hadoop(spark, path)
+    rows = new
+    if fs.exists(at):
+        touched = [r.key_part for r in new.select("key_part").distinct().limit(parts).collect()]
+        rows = kept(upsert(spark.read.parquet(path).filter(F.col("key_part").isin(touched)), new, keys), "merged")
+    rows.repartition("key_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_part").parquet(path)
+    return spark.read.parquet(path)
+
+
 def verify_keys(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Keys of new rows that the stored table lacks."""
     return new.select(key).join(stored.select(key), key, "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from weftline.sources.writers import upsert_table
+from weftline.sources.writers import upsert_parts
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -17,11 +17,11 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
 
 
 def linked_stream(sources: DataFrame, match: Callable[[DataFrame], DataFrame], results: str, checkpoint: str, key: str = "src") -> StreamingQuery:
-    """Matches each batch of new sources and upserts its results by key, so that a repeated batch changes nothing.
-    Runs over all that is there, then ends."""
+    """Matches each batch of new sources and upserts its results by key, so that a repeated batch changes nothing; only
+    the parts of the table that a batch falls in are written again. Runs over all that is there, then ends."""
 
     def step(batch: DataFrame, _: int) -> None:
-        upsert_table(batch.sparkSession, match(batch), results, key)
+        upsert_parts(batch.sparkSession, match(batch), results, key)
 
     return sources.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
