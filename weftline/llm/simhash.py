@@ -27,6 +27,8 @@ TILE = 4096
 _PIECE = 1 << 20
 #: Pairs that are compared at once.
 _PAIRS = 1 << 17
+#: Links of a tile that are held at once.
+_LINKS = 1 << 19
 
 
 def _set_bits(hashes: list[int]) -> np.ndarray:
@@ -97,21 +99,27 @@ def _close(radius: int):
     def links(x, y):
         own = x["fp"].view(np.uint64)
         others = own if y is None else y["fp"].view(np.uint64)
-        rows = max(1, _PAIRS // len(others))
-        ends_a, ends_b = [], []
+        both = own if y is None else np.concatenate([own, others])
+        rows, first = max(1, _PAIRS // len(others)), len(both) - len(others)
+        ends_a, ends_b, held = [], [], 0
+
+        def forest():
+            root = dense_forest(len(both), np.concatenate(ends_a), np.concatenate(ends_b))
+            at = np.flatnonzero(root != np.arange(len(both)))
+            return root[at], at
+
         for i in range(0, len(own), rows):
             a, b = np.nonzero(np.bitwise_count(own[i : i + rows, None] ^ others[None, :]) <= radius)
             keep = a + i < b if y is None else slice(None)
             ends_a.append(a[keep] + i)
-            ends_b.append(b[keep])
-        a, b = np.concatenate(ends_a), np.concatenate(ends_b)
-        both = own.view(np.int64)
-        if y is not None:
-            b += len(own)
-            both = np.concatenate([both, others.view(np.int64)])
-        root = dense_forest(len(both), a, b)
-        at = np.flatnonzero(root != np.arange(len(both)))
-        yield pa.record_batch({"a": both[root[at]], "b": both[at]})
+            ends_b.append(b[keep] + first)
+            held += len(ends_a[-1])
+            if held > _LINKS:  # many near copies: their links so far make way for a spanning forest
+                a, b = forest()
+                ends_a, ends_b, held = [a], [b], 0
+        a, b = forest()
+        both = both.view(np.int64)
+        yield pa.record_batch({"a": both[a], "b": both[b]})
 
     return links
 
