@@ -130,6 +130,43 @@ def test_repeated_bytes(spark, docs, scratch, seed, length, anchor, meet):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == Counter(plain_repeats(rows, length))
 
 
+def plain_maximal(bodies, length):
+    """Every string of at least length bytes that occurs twice, with unlike or no bytes before some and after some."""
+    out = set()
+    starts = Counter()
+    places = {}
+    for t, b in enumerate(bodies):
+        for i in range(len(b) - length + 1):
+            places.setdefault(b[i : i + length], []).append((t, i))
+    for own in places.values():
+        for x, (t, i) in enumerate(own):
+            for u, j in own[:x]:
+                a, b, c, d = bodies[t], bodies[u], i, j
+                while c and d and a[c - 1] == b[d - 1]:
+                    c, d = c - 1, d - 1
+                n = 0
+                while c + n < len(a) and d + n < len(b) and a[c + n] == b[d + n]:
+                    n += 1
+                out.add(a[c : c + n])
+    return {(hashlib.md5(s).hexdigest(), len(s), t, i) for s in out for t, b in enumerate(bodies) for i in range(len(b) - len(s) + 1) if b[i : i + len(s)] == s} if out else starts.keys()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeat_groups_are_the_maximal_repeats(spark, docs, scratch, seed):
+    r = random.Random(seed)
+    passage = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(20, 70))) for _ in range(8)]
+    rows = [(i, "".join(r.choice(passage) + r.choice(["", "x", "yz"]) for _ in range(r.randint(1, 4)))) for i in range(25)] + [(90, None), (91, "")]
+    rows.append((92, rows[0][1]))
+    bodies = sorted({(t or "").encode() for _, t in rows})
+    at = {hashlib.sha256(b).hexdigest(): i for i, b in enumerate(bodies)}
+    found = suffix_dedup.repeat_groups(docs(rows), scratch, 30, 8, reach=500).collect()
+    assert {(x.group, x.n_bytes, at[x.sha], x.start) for x in found} == plain_maximal(bodies, 30)
+    assert len(found) == len({(x.group, x.sha, x.start) for x in found}) and not any(x.open for x in found)
+    assert {x.times for x in found if x.sha == hashlib.sha256(rows[0][1].encode()).hexdigest()} <= {2}
+    few = suffix_dedup.repeat_groups(docs(rows), scratch, 30, 8, reach=500, most=2).collect()
+    assert {(x.sha, x.start) for x in few if x.open} and all(x.n_bytes >= 8 for x in few)
+
+
 def test_intervals_are_the_tree():
     lcp = [1, 3, 0, 2, 2]
     nodes = {(d, a, b): c for d, a, b, c in suffix_dedup.intervals(lcp)}
@@ -183,6 +220,13 @@ def test_embeddings(spark, scratch, options):
     assert Counter((x.vec_id, x.n_links, x.component_id, x.kept) for x in found) == want
 
 
+def test_labels_may_be_text(spark, scratch):
+    rows = [(i, "ab"[i % 2], [1.0, i * 1e-3]) for i in range(8)]
+    frame = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    found = {x.vec_id: (x.n_links, x.component_id) for x in embed_join.near_duplicates(frame, scratch, cell=2, most_pivots=16).collect()}
+    assert found == {i: (3, i % 2) for i in range(8)}
+
+
 def test_no_embeddings(spark, scratch):
     assert embed_join.near_duplicates(vectors(spark, []), scratch).count() == 0
 

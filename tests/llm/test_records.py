@@ -222,6 +222,13 @@ def test_shards_of_one_id_are_bounded(spark, scratch):
     assert len({x.shard for x in found}) == 1 and sorted(x.slot for x in found) == list(range(3000))
 
 
+def test_columns_of_clashing_names_are_kept(spark, scratch):
+    _, df = documents(spark, 20)
+    out = sharding.sharded(df.withColumnRenamed("slot", "Slot"), scratch, shards=2)
+    assert {"shard_", "bucket_", "before_", "Slot_", "shard", "bucket", "slot"} <= set(out.columns)
+    assert all(x.shard_ == x.bucket_ == x.before_ == x.Slot_ == "own" for x in out.collect())
+
+
 def test_no_rows_to_shard(spark, scratch):
     _, df = documents(spark)
     assert sharding.sharded(df.limit(0), scratch).count() == 0

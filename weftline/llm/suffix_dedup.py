@@ -109,6 +109,25 @@ def extents(contexts: list[tuple[bytes, bytes]], least: int) -> list[tuple[int,
     return best
 
 
+def repeats(contexts: list[tuple[bytes, bytes]], least: int) -> Iterator[tuple[int, int, list[int]]]:
+    """For the same pairs: (before, after, pairs) of each maximal repeat of at least so many bytes that holds the anchor, with
+    all pairs it occurs in. At a node of the interval tree over the second parts, the pairs in the order of their first parts
+    make a second such tree, of which each node with pairs of several children is a repeat that no byte on either
+    side could be added to."""
+    order = sorted(range(len(contexts)), key=lambda i: contexts[i][1])
+    by_left = sorted(range(len(contexts)), key=lambda i: contexts[i][0])
+    rank = {i: k for k, i in enumerate(by_left)}
+    lcp = [_common(contexts[a][1], contexts[b][1]) for a, b in zip(order, order[1:], strict=False)]
+    held: dict[tuple[int, int], list[int]] = {}
+    for depth, first, end, children in intervals(lcp):
+        labelled = sorted((x, k) for k, c in enumerate(children) for x in (held.pop(c) if c in held else [rank[order[c[0]]]]))
+        held[first, end] = [x for x, _ in labelled]
+        lefts = [_common(contexts[by_left[a]][0], contexts[by_left[b]][0]) for (a, _), (b, _) in zip(labelled, labelled[1:], strict=False)]
+        for left, i, j, _ in intervals(lefts):
+            if left + depth >= least and any(k != labelled[i][1] for _, k in labelled[i + 1 : j]):
+                yield left, depth, [by_left[x] for x, _ in labelled[i:j]]
+
+
 class Anchors:
     """Content-chosen positions: the leftmost smallest hash of ANCHOR-byte strings in each string of LENGTH
     bytes. Equal strings of LENGTH bytes hold equal anchors at the same place."""
@@ -301,6 +320,80 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, anc
     return near.union(far).union(whole).union(runs)
 
 
+def _groups(length: int, anchor: int, reach: int, most: int):
+    """Rows sorted by anchor -> (group, n_bytes, open, tid, start) of the repeats that hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, many, out = None, [], False, []
+
+        def made(rows):
+            cols = zip(*rows, strict=True)
+            types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["group", "n_bytes", "open", "tid", "start"])
+
+        def frequent(tid, pos, before, context):
+            string = context[before : before + anchor]
+            return hashlib.md5(string).hexdigest(), len(string), True, tid, pos
+
+        def found(group):
+            distinct: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+            for tid, pos, before, context in group:
+                distinct.setdefault((before, context), []).append((tid, pos))
+            pairs = [(c[:b][::-1], c[b:]) for b, c in distinct]
+            places = list(distinct.values())
+            nodes = [(len(a), len(b), [i]) for i, (a, b) in enumerate(pairs) if len(places[i]) > 1 and len(a) + len(b) >= length]
+            for left, right, members in [*nodes, *repeats(pairs, length)]:
+                a, b = pairs[members[0]]
+                name = hashlib.md5(a[:left][::-1] + b[:right]).hexdigest()
+                for i in members:
+                    for tid, pos in places[i]:
+                        yield name, left + right, left == reach or right == reach, tid, pos - left
+
+        for batch in batches:
+            for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "tid", "pos", "before", "context")), strict=True):
+                if h != now:
+                    out += found(held)
+                    now, held, many = h, [], False
+                if many:
+                    out.append(frequent(*row))
+                else:
+                    held.append(row)
+                    if len(held) > most:
+                        out += [frequent(*x) for x in held]
+                        held, many = [], True
+                if len(out) > 10_000:
+                    yield made(out)
+                    out = []
+        out += found(held)
+        if out:
+            yield made(out)
+
+    return run
+
+
+def repeat_groups(docs: DataFrame, scratch: Scratch, length: int = LENGTH, anchor: int = ANCHOR, reach: int = 1024, most: int = MEET) -> DataFrame:
+    """Maximal repeats of at least so many bytes, each with all its occurrences: (group: MD5 of the repeat, n_bytes, open, sha:
+    of the text, times: its rows, start).
+
+    Read up to `reach` bytes on both sides of an anchor; a repeat that goes on there is open: cut at the reach. Of an
+    anchor with more than `most` occurrences, its own bytes are the group, open, again with all occurrences. Runs
+    of a short period are groups of their own. Null and empty texts have no repeats; rows of equal texts are
+    one text of several times."""
+    texts = distinct_texts(docs, scratch)
+    kept = scratch.keep(texts.select("tid", "body").mapInArrow(_anchors(length, anchor), "h long, tid long, pos long, stop long"), "anchors")
+    found = kept.filter("stop < 0").drop("stop")
+    often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    before = F.least("pos", F.lit(reach)).cast("int")
+    context = F.expr(f"substring(body, cast(pos - least(pos, {reach}) + 1 as int), cast(least(pos, {reach}) + {reach} as int))")
+    around = texts.select("tid", "body").join(found.join(often, "h"), "tid").select("h", "tid", "pos", before.alias("before"), context.alias("context"))
+    kinds = "group string, n_bytes long, open boolean, tid long, start long"
+    groups = around.repartition("h").sortWithinPartitions("h").mapInArrow(_groups(length, anchor, reach, most), kinds)
+    run = F.expr("substring(body, cast(pos + 1 as int), cast(stop - pos as int))")
+    runs = texts.select("tid", "body").join(kept.filter("stop >= 0"), "tid").select(F.md5(run).alias("group"), (F.col("stop") - F.col("pos")).alias("n_bytes"), F.lit(False).alias("open"), "tid", F.col("pos").alias("start"))
+    both = groups.union(runs).distinct()  # a repeat with several anchors is found from each
+    return both.join(texts.select("tid", "sha", "times"), "tid").drop("tid")
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = {"sha": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "runs": []}
