@@ -485,7 +485,20 @@ def chinese_registry(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), alias.alias("other_name"), address.alias("address"), other.alias("other_address"))
 
 
-@query()
+#: Both spellings of chinese_registry(), in SQL.
+SPELLINGS_SQL = """
+parts AS (SELECT c_custkey, c_custkey AS k, string_split('虹口 杨浦 静安 徐汇 长宁', ' ')[c_nationkey % 5 + 1] AS district, string_split('天宝 四平 南京 中山 延安', ' ')[c_custkey % 7 % 5 + 1] AS road,
+                 string_split('宏达 永兴 华美 金源 瑞丰 长江', ' ')[c_custkey % 6 + 1] AS core, string_split('宏大 永新 华美 金源 瑞风 长江', ' ')[c_custkey % 6 + 1] AS slip, string_split('电子 机械 贸易 食品 物流', ' ')[c_custkey % 11 % 5 + 1] AS business FROM customer),
+spellings AS (SELECT c_custkey, '上海' || core || business || '有限公司' AS name, '上海市' || CASE WHEN k % 4 = 0 THEN slip ELSE core END || business || CASE WHEN k % 2 = 0 THEN '股份有限公司' ELSE '有限公司' END AS other_name,
+                     '上海市' || district || '区' || road || '路' || CAST(k % 900 + 1 AS VARCHAR) || '号' AS address,
+                     '上海市市辖区' || district || '区' || road || CASE WHEN k % 3 = 0 THEN '大道' ELSE '路' END || CAST(CASE WHEN k % 5 = 0 THEN k % 900 + 2 ELSE k % 900 + 1 END AS VARCHAR) || CASE WHEN k % 2 = 0 THEN '#' ELSE '号' END AS other_address FROM parts)"""
+
+
+@query(f"""
+WITH {SPELLINGS_SQL}
+SELECT c_custkey, regexp_extract(address, '^(..市)', 1) AS province, '' AS city, regexp_extract(address, '市(..区)', 1) AS district, '' AS town, regexp_extract(address, '区(..路)', 1) AS street, regexp_extract(address, '[0-9]+号') AS number, '' AS building, '' AS detail,
+       CASE WHEN replace(replace(replace(other_address, '市辖区', ''), '大道', '路'), '#', '号') = address THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score FROM spellings
+""")
 def address_levels(spark, sf_dir):
     """Parts of each address, and its similarity by levels with another spelling."""
     from weftline.functions.address import address_parts, address_similarity
@@ -516,14 +529,30 @@ def name_conflicts(spark, sf_dir):
     return rows.select("c_custkey", conflict_udf(a, b).alias("conflict"), r6(blended_udf(a, b)).alias("blend"), r6(record_blend(a, b, x, y)).alias("record"), r6(coarse_udf(x, y)).alias("coarse"), (precise_udf(x, y) == 1).alias("precise"))
 
 
-@query()
+@query(f"""
+WITH {SPELLINGS_SQL},
+f AS (SELECT 'name' AS field_name, unnest(list_filter(list_distinct([x[i:i+1] for i in range(1, len(x))]), lambda w: w NOT IN ('有限', '公司', '企业', '集团', '工厂', '商店', '中心', '责任', '股份'))) AS keyword FROM (SELECT regexp_replace(name, '有限公司$', '') AS x FROM spellings)
+      UNION ALL SELECT 'address', unnest([address[1:3], address[1:6], regexp_extract(address, '区(..路)', 1), regexp_extract(address, '[0-9]+号')]) FROM spellings)
+SELECT field_name, keyword, count(*) AS n FROM f GROUP BY 1, 2
+""")
 def field_keywords(spark, sf_dir):
     """Keyword index of names and addresses: keyword, in how many records."""
     rows = chinese_registry(spark, sf_dir)
     return blocking.keyword_index(rows, "c_custkey", {"name": "unit_name", "address": "address"}, "customer").groupBy("field_name", "keyword").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {SPELLINGS_SQL},
+c AS (SELECT DISTINCT name AS x, other_name AS y FROM spellings),
+windows AS (SELECT x, y, y[greatest(1, i + 1):i + len(x)] AS w FROM (SELECT *, unnest(range(1 - len(x), len(y))) AS i FROM c)),
+need AS (SELECT x, y FROM c UNION SELECT x, w FROM windows),
+{LCS_SQL},
+part_best AS (SELECT windows.x, windows.y, max(r) AS r FROM windows JOIN lcs ON lcs.x = windows.x AND lcs.y = w GROUP BY 1, 2),
+four AS (SELECT c.x, c.y, lcs.r AS fuzzy, CASE WHEN c.x = c.y THEN 1.0 ELSE lcs.r END AS words, 0.8 * lcs.r + 0.2 * part_best.r AS slices, len(list_intersect(string_split(c.x, ''), string_split(c.y, ''))) / len(list_distinct(list_concat(string_split(c.x, ''), string_split(c.y, '')))) AS chars FROM c JOIN lcs ON lcs.x = c.x AND lcs.y = c.y JOIN part_best ON part_best.x = c.x AND part_best.y = c.y),
+m AS (SELECT *, (0.48 * chars + 0.24 * words + 0.2 * slices + 0.1 * fuzzy) / 1.02 AS score, (chars + words + slices + fuzzy) / 4 AS mean FROM four),
+v AS (SELECT *, ((chars - mean) ** 2 + (words - mean) ** 2 + (slices - mean) ** 2 + (fuzzy - mean) ** 2) / 4 AS variance FROM m)
+SELECT c_custkey, round(score, 6) AS score, round(least(1.0, mean * greatest(0.0, 1 - variance) + 0.1), 6) AS confidence, CAST(0.8 AS DOUBLE) AS threshold, score >= 0.8 AS matched FROM spellings JOIN v ON name = x AND other_name = y
+""")
 def hybrid_scores(spark, sf_dir):
     """Ensemble of four name similarities in balanced mode."""
     from weftline.functions import fuzzy
