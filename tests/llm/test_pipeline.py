@@ -34,7 +34,7 @@ def test_stages(spark, scratch):
             assert all(any(c.isalpha() for c in t) for t in kept.values())
             assert all(not any(c.isalpha() for c in before[i]) for i in before.keys() - kept.keys())
         elif name == "near_duplicates":
-            assert Counter(kept) == plain_kept(sorted(before.items()))
+            assert Counter(list(kept)) == plain_kept(sorted(before.items()))
             assert kept.items() <= before.items()
         elif name == "repeats":
             want = {i: (removed, sha) for i, _, removed, _, sha in plain_repeats(list(before.items()), 200)}
