@@ -47,12 +47,26 @@ def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
 
 class Scratch:
     """Tables of one run in the shared folder. keep() writes a table and returns it reread, which cuts
-    the lineage and outlives lost executors; drop() removes one that nothing reads any more."""
+    the lineage and outlives lost executors; drop() removes one that nothing reads any more; sweep() removes all
+    tables of the runs that began since mark(), once their result is written elsewhere."""
+
+    _begun: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch._begun.append(self)
+
+    @staticmethod
+    def mark() -> int:
+        return len(Scratch._begun)
+
+    @staticmethod
+    def sweep(mark: int) -> None:
+        for begun in Scratch._begun[mark:]:
+            begun.drop("")
+        del Scratch._begun[mark:]
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -64,7 +78,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            at = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             at.getFileSystem(conf).delete(at, True)
 
 
