@@ -57,8 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents. A stage's own tables go once its result is written, and that once the next
+    stage's is."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        mark = Scratch.mark()
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        Scratch.sweep(mark)
+        if before is not None:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
