@@ -163,8 +163,15 @@ def test_repeat_groups_are_the_maximal_repeats(spark, docs, scratch, seed):
     assert {(x.group, x.n_bytes, at[x.sha], x.start) for x in found} == plain_maximal(bodies, 30)
     assert len(found) == len({(x.group, x.sha, x.start) for x in found}) and not any(x.open for x in found)
     assert {x.times for x in found if x.sha == hashlib.sha256(rows[0][1].encode()).hexdigest()} <= {2}
-    few = suffix_dedup.repeat_groups(docs(rows), scratch, 30, 8, reach=500, most=2).collect()
-    assert {(x.sha, x.start) for x in few if x.open} and all(x.n_bytes >= 8 for x in few)
+    few = {(x.group, x.n_bytes, at[x.sha], x.start, x.open) for x in suffix_dedup.repeat_groups(docs(rows), scratch, 30, 8, reach=500, most=2).collect()}
+    whole = plain_maximal(bodies, 30)
+    assert {x[:4] for x in few if not x[4]} <= whole
+    cover = [{(t, i + k) for _, n, t, i, *_ in groups for k in range(n)} for groups in (few, whole)]
+    assert cover[0] == cover[1]
+    open_ = {bodies[t][i : i + n] for _, n, t, i, o in few if o}  # of many occurrences, still all of them
+    assert open_ and {(s, t, i) for s in open_ for t, b in enumerate(bodies) for i in range(len(b)) if b.startswith(s, i)} == {
+        (bodies[t][i : i + n], t, i) for _, n, t, i, o in few if o
+    }
 
 
 def test_intervals_are_the_tree():

@@ -18,8 +18,8 @@ from weftline.llm.common import U64, Rolling, Scratch, fresh, release, sliding_m
 LENGTH = 200
 #: Bytes of an anchor; each LENGTH-byte string holds one, the smallest hash among its ANCHOR-byte strings.
 ANCHOR = 40
-#: Occurrences of an anchor that meet in one suffix array, at about 600 bytes each; those of a more frequent
-#: anchor are compared by digests of whole LENGTH-byte strings, in a plain aggregation.
+#: Suffixes that meet in one suffix array, at about 600 bytes each; those of a more frequent anchor are divided
+#: by longer and longer common surroundings until so few agree, or until all agree on LENGTH bytes.
 MEET = 20_000
 _PIECE = 1 << 19
 
@@ -279,88 +279,129 @@ def distinct_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(once.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
 
+def _around(texts: DataFrame, anchors: DataFrame, before: int, after: int) -> DataFrame:
+    """Anchors (tid, pos, ...) with the bytes around them: before (their number before the anchor) and context."""
+    context = F.expr(f"substring(body, cast(pos - least(pos, {before}) + 1 as int), cast(least(pos, {before}) + {after} as int))")
+    found = texts.select("tid", "body").join(anchors, "tid")
+    return found.withColumn("before", F.least("pos", F.lit(before)).cast("int")).withColumn("context", context).drop("body")
+
+
+def _contexts(around: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (h, tid, pos, before, context) -> (c, tid, pos), and the distinct surroundings (cid, c, h, before,
+    context, times)."""
+    keyed = around.withColumn("c", F.sha2(F.concat(F.col("before").cast("string").cast("binary"), F.lit(b":"), "context"), 256))
+    once = keyed.groupBy("c", "h", "before", "context").agg(F.count("*").alias("times"))
+    return keyed.select("c", "tid", "pos"), scratch.keep(once.withColumn("cid", F.monotonically_increasing_id()), "contexts")
+
+
+def divided(contexts: DataFrame, scratch: Scratch, length: int, anchor: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct surroundings (cid, h, before, context) -> (groups (key, cid, before, context) of at most so many, in which
+    any two that agree on length bytes around their anchor meet; the rest (cid, before, context, a, b), in groups larger
+    than that which agree on the a bytes before and the b from the anchor's start, length bytes in all).
+
+    A group agrees on a bytes before and b after. Two of it that agree on length bytes in all agree on half of what
+    is missing more after, or on the other half more before: a group that is too large is divided by both, until none is
+    or nothing is missing. So each node of the interval tree that matters lies whole in a group, and each level halves
+    what is missing."""
+    work = contexts.select(F.col("h").cast("string").alias("key"), "cid", "before", "context", F.lit(0).alias("a"), F.lit(anchor).alias("b"))
+    missing = F.lit(length) - F.col("a") - F.col("b")
+    half = F.ceil(missing / 2).cast("int")
+    boxes = F.array(
+        F.struct(F.col("a").alias("a"), (F.col("b") + half).alias("b")),
+        F.struct((F.col("a") + missing - half + 1).alias("a"), F.col("b").alias("b")),
+    )
+    common = F.expr("substring(context, before - a + 1, a + b)")
+    key = F.sha2(F.concat(F.col("a").cast("string").cast("binary"), F.lit(b":"), common), 256)
+    few, whole, level = None, None, 0
+    while True:
+        work = scratch.keep(work, f"divided{level}")
+        large = work.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key")
+        large = scratch.keep(large, f"large{level}")
+        small = work.join(large, "key", "left_anti").select("key", "cid", "before", "context")
+        few = small if few is None else few.union(small)
+        many = work.join(large, "key", "left_semi")
+        done = many.filter(missing <= 0).select("cid", "before", "context", "a", "b")
+        whole = done if whole is None else whole.union(done)
+        if large.isEmpty():
+            return few, whole
+        boxed = many.filter(missing > 0).select("cid", "before", "context", F.explode(boxes).alias("box")).select("cid", "before", "context", "box.*")
+        held = (F.col("a") <= F.col("before")) & (F.col("b") <= F.octet_length("context") - F.col("before"))
+        work = boxed.filter(held).select(key.alias("key"), "cid", "before", "context", "a", "b")
+        level += 1
+
+
+def _far(around: DataFrame, scratch: Scratch, length: int, anchor: int, meet: int) -> DataFrame:
+    """Occurrences of frequent anchors -> (tid, start, stop) of the repeats that hold them."""
+    places, contexts = _contexts(around, scratch)
+    few, whole = divided(contexts, scratch, length, anchor, meet)
+    met = few.select(F.col("key").alias("h"), F.col("cid").alias("tid"), F.lit(0).cast("long").alias("pos"), "before", "context")
+    met = met.repartition("h").sortWithinPartitions("h").mapInArrow(_meet(length), "tid long, start long, stop long")
+    met = met.select(F.col("tid").alias("cid"), (-F.col("start")).alias("a"), F.col("stop").alias("b"))
+    size = F.octet_length("context")
+    same = contexts.filter((F.col("times") > 1) & (size >= length)).select("cid", F.col("before").alias("a"), (size - F.col("before")).alias("b"))
+    reach = met.union(whole.select("cid", "a", "b")).union(same).groupBy("cid").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    reach = contexts.select("cid", "c").join(reach, "cid").select("c", "a", "b")
+    return places.join(reach, "c").select("tid", (F.col("pos") - F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("stop"))
+
+
 def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, anchor: int = ANCHOR, meet: int = MEET) -> DataFrame:
     """Texts (tid, body, times), distinct, -> (tid, start, stop): spans that cover exactly the bytes in
     strings of so many bytes that also start anywhere else; spans of one text may overlap.
 
     Anchors of all texts are counted; those that occur twice or more bring the bytes around them to
-    one place, where extents() finds every repeat that holds them. Periodic runs, and texts that have
+    one place, where extents() finds every repeat that holds them. Of an anchor with more than `meet` occurrences
+    equal surroundings are made one first, and the rest is divided(). Periodic runs, and texts that have
     several rows, repeat as a whole."""
     spark = scratch.spark
     kept = scratch.keep(texts.select("tid", "body").mapInArrow(_anchors(length, anchor), "h long, tid long, pos long, stop long"), "anchors")
     runs = kept.filter("stop >= 0").select("tid", F.col("pos").alias("start"), "stop")
     found = kept.filter("stop < 0").drop("stop")
     often = scratch.keep(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "often")
-    shared = scratch.keep(found.join(often, "h").select("h", "n", "tid", "pos"), "shared")
+    frequent = not often.filter(F.col("n") > meet).isEmpty()
+    shared = scratch.keep(found.join(often, "h").select("h", (F.col("n") > meet).alias("many"), "tid", "pos"), "shared")
     release(spark)
     scratch.drop("often")
 
-    side = length - anchor
     size = F.octet_length("body")
-    # one pass over the texts: the bytes around each anchor, or each string with a frequent one (start >= 0)
-    low, high = F.greatest(F.col("pos") - side, F.lit(0)), F.least(F.col("pos"), size - length)
-    starts = F.when(F.col("n") <= meet, F.array(F.lit(-1).cast("long"))).when(low <= high, F.sequence(low, high))
-    around = texts.select("tid", "body").join(shared, "tid").withColumn("start", F.explode(starts))
-    before = F.least("pos", F.lit(side)).cast("int")
-    context = F.expr(f"substring(body, cast(pos - least(pos, {side}) + 1 as int), cast(least(pos, {side}) + {length} as int))")
-    string = F.expr(f"unhex(md5(substring(body, cast(start + 1 as int), {length})))")
-    bytes_ = F.when(F.col("start") < 0, context).otherwise(string)
-    around = scratch.keep(around.select("h", "tid", "pos", "start", before.alias("before"), bytes_.alias("context")), "around")
+    around = scratch.keep(_around(texts, shared, length - anchor, length).select("h", "many", "tid", "pos", "before", "context"), "around")
     release(spark)
     scratch.drop("shared")
-    near = around.filter("start < 0").select("h", "tid", "pos", "before", "context")
+    near = around.filter(~F.col("many")).select("h", "tid", "pos", "before", "context")
     near = near.repartition("h").sortWithinPartitions("h").mapInArrow(_meet(length), "tid long, start long, stop long")
     near = scratch.keep(near, "near")
-    strings = scratch.keep(around.filter("start >= 0").select("tid", "start", F.col("context").alias("digest")).distinct(), "strings")
+    if frequent:
+        near = near.union(scratch.keep(_far(around.filter("many"), scratch, length, anchor, meet), "far"))
     release(spark)
     scratch.drop("around")
-    twice = scratch.keep(strings.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
-    far = strings.join(twice, "digest").select("tid", "start", (F.col("start") + length).alias("stop"))
     whole = texts.filter((F.col("times") > 1) & (size >= length)).select("tid", F.lit(0).cast("long").alias("start"), size.cast("long").alias("stop"))
-    return near.union(far).union(whole).union(runs)
+    return near.union(whole).union(runs)
 
 
-def _groups(length: int, anchor: int, reach: int, most: int):
-    """Rows sorted by anchor -> (group, n_bytes, open, tid, start) of the repeats that hold it."""
+def _groups(length: int, reach: int):
+    """Distinct surroundings sorted by key -> (group, n_bytes, open, cid, a: bytes before the anchor) of their repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, many, out = None, [], False, []
+        now, held, out = None, [], []
 
         def made(rows):
             cols = zip(*rows, strict=True)
             types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["group", "n_bytes", "open", "tid", "start"])
-
-        def frequent(tid, pos, before, context):
-            string = context[before : before + anchor]
-            return hashlib.md5(string).hexdigest(), len(string), True, tid, pos
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["group", "n_bytes", "open", "cid", "a"])
 
         def found(group):
-            distinct: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-            for tid, pos, before, context in group:
-                distinct.setdefault((before, context), []).append((tid, pos))
-            pairs = [(c[:b][::-1], c[b:]) for b, c in distinct]
-            places = list(distinct.values())
-            nodes = [(len(a), len(b), [i]) for i, (a, b) in enumerate(pairs) if len(places[i]) > 1 and len(a) + len(b) >= length]
-            for left, right, members in [*nodes, *repeats(pairs, length)]:
+            pairs = [(c[:b][::-1], c[b:]) for _, b, c in group]
+            for left, right, members in repeats(pairs, length):
                 a, b = pairs[members[0]]
                 name = hashlib.md5(a[:left][::-1] + b[:right]).hexdigest()
                 for i in members:
-                    for tid, pos in places[i]:
-                        yield name, left + right, left == reach or right == reach, tid, pos - left
+                    yield name, left + right, left == reach or right == reach, group[i][0], left
 
         for batch in batches:
-            for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "tid", "pos", "before", "context")), strict=True):
-                if h != now:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "cid", "before", "context")), strict=True):
+                if key != now:
                     out += found(held)
-                    now, held, many = h, [], False
-                if many:
-                    out.append(frequent(*row))
-                else:
-                    held.append(row)
-                    if len(held) > most:
-                        out += [frequent(*x) for x in held]
-                        held, many = [], True
+                    now, held = key, []
+                held.append(row)
                 if len(out) > 10_000:
                     yield made(out)
                     out = []
@@ -375,19 +416,26 @@ def repeat_groups(docs: DataFrame, scratch: Scratch, length: int = LENGTH, ancho
     """Maximal repeats of at least so many bytes, each with all its occurrences: (group: MD5 of the repeat, n_bytes, open, sha:
     of the text, times: its rows, start).
 
-    Read up to `reach` bytes on both sides of an anchor; a repeat that goes on there is open: cut at the reach. Of an
-    anchor with more than `most` occurrences, its own bytes are the group, open, again with all occurrences. Runs
+    Read up to `reach` bytes on both sides of an anchor; a repeat that goes on there is open: cut at the reach. Where more
+    than `most` unlike surroundings agree on length bytes, these are the group, open, again with all occurrences. Runs
     of a short period are groups of their own. Null and empty texts have no repeats; rows of equal texts are
     one text of several times."""
     texts = distinct_texts(docs, scratch)
     kept = scratch.keep(texts.select("tid", "body").mapInArrow(_anchors(length, anchor), "h long, tid long, pos long, stop long"), "anchors")
     found = kept.filter("stop < 0").drop("stop")
     often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    before = F.least("pos", F.lit(reach)).cast("int")
-    context = F.expr(f"substring(body, cast(pos - least(pos, {reach}) + 1 as int), cast(least(pos, {reach}) + {reach} as int))")
-    around = texts.select("tid", "body").join(found.join(often, "h"), "tid").select("h", "tid", "pos", before.alias("before"), context.alias("context"))
-    kinds = "group string, n_bytes long, open boolean, tid long, start long"
-    groups = around.repartition("h").sortWithinPartitions("h").mapInArrow(_groups(length, anchor, reach, most), kinds)
+    around = scratch.keep(_around(texts, found.join(often, "h"), reach, reach).select("h", "tid", "pos", "before", "context"), "around")
+    places, contexts = _contexts(around, scratch)
+    few, whole = divided(contexts, scratch, length, anchor, most)
+    kinds = "group string, n_bytes long, open boolean, cid long, a long"
+    groups = few.repartition("key").sortWithinPartitions("key").mapInArrow(_groups(length, reach), kinds)
+    size, before = F.octet_length("context"), F.col("before")
+    common = F.md5(F.expr("substring(context, before - a + 1, a + b)"))
+    groups = groups.union(whole.select(common, (F.col("a") + F.col("b")).cast("long"), F.lit(True), "cid", F.col("a").cast("long")))
+    same = contexts.filter((F.col("times") > 1) & (size >= length))
+    groups = groups.union(same.select(F.md5("context"), size.cast("long"), (before == reach) | (size - before == reach), "cid", before.cast("long")))
+    groups = groups.distinct().join(contexts.select("cid", "c"), "cid").join(places, "c")
+    groups = groups.select("group", "n_bytes", "open", "tid", (F.col("pos") - F.col("a")).alias("start"))
     run = F.expr("substring(body, cast(pos + 1 as int), cast(stop - pos as int))")
     runs = texts.select("tid", "body").join(kept.filter("stop >= 0"), "tid").select(F.md5(run).alias("group"), (F.col("stop") - F.col("pos")).alias("n_bytes"), F.lit(False).alias("open"), "tid", F.col("pos").alias("start"))
     both = groups.union(runs).distinct()  # a repeat with several anchors is found from each
