@@ -1274,3 +1274,130 @@ def kg_field_names(spark, sf_dir):
     entities = graph.extracted(rows, "c_custkey", {graph.ORGANISATION: ["c_name"], graph.LOCATION: ["address"]}, "customer")
     found = graph.field_name_triples(entities, ["address", "c_name"], lambda a, b: 0.9)
     return found.select("subject_id", "predicate", "object_id", r6("confidence").alias("confidence"))
+
+
+@query("""
+SELECT o_custkey, count(*) AS visits, min(o_orderdate) AS earliest, max(o_orderdate) AS latest, round(count(o_orderdate) / greatest(count(DISTINCT o_orderdate), 1), 6) AS frequency FROM orders GROUP BY o_custkey
+""")
+def visit_history(spark, sf_dir):
+    """First, last and repeated dates of each customer."""
+    return stats.visit_history(t(spark, sf_dir, "orders"), "o_custkey", "o_orderdate").withColumn("frequency", r6("frequency"))
+
+
+@query("SELECT count(*) AS tasks, round(avg(l_quantity), 6) AS avg_seconds, sum(l_linenumber) AS candidates, round(avg(l_linenumber), 6) AS avg_candidates FROM lineitem")
+def task_stats(spark, sf_dir):
+    """Lines as tasks that took their quantity's seconds and had as many candidates as their number."""
+    found = stats.task_stats(t(spark, sf_dir, "lineitem"), "l_quantity", "l_linenumber")
+    return found.withColumns({c: r6(c) for c in ("avg_seconds", "avg_candidates")})
+
+
+@query("""
+WITH d AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'match' WHEN 'O' THEN 'suspicious' ELSE 'reject' END AS decision, CAST(o_totalprice AS DOUBLE) AS price FROM orders)
+SELECT count(*) AS tasks, count_if(decision = 'match') AS "match", count_if(decision = 'suspicious') AS suspicious, count_if(decision = 'reject') AS reject,
+  round(100 * count_if(decision = 'match') / count(*), 6) AS match_rate, round(100 * count_if(decision = 'suspicious') / count(*), 6) AS suspicious_rate, round(100 * count_if(decision = 'reject') / count(*), 6) AS reject_rate,
+  round(avg(price), 2) AS avg_seconds, round(avg(price / 2), 2) AS avg_plain, round(avg(price / 4), 2) AS avg_tuned FROM d
+""")
+def decision_stats(spark, sf_dir):
+    """Orders as decided tasks."""
+    price = F.col("o_totalprice").cast("double")
+    decision = F.when(F.col("o_orderstatus") == "F", "match").when(F.col("o_orderstatus") == "O", "suspicious").otherwise("reject")
+    tasks = t(spark, sf_dir, "orders").select(decision.alias("decision"), price.alias("seconds"), (price / 2).alias("plain"), (price / 4).alias("tuned"))
+    found = stats.decision_stats(tasks, "decision", "seconds", "plain", "tuned")
+    return found.withColumns({c: r6(c) for c in found.columns if c.endswith("_rate")} | {c: F.round(c, 2) for c in found.columns if c.startswith("avg_")})
+
+
+@query("SELECT c_mktsegment AS project_name, count(*) AS entity_count FROM customer WHERE c_mktsegment IS NOT NULL AND trim(c_mktsegment) <> '' GROUP BY c_mktsegment")
+def kg_projects(spark, sf_dir):
+    """Entities of each project."""
+    return graph.projects(t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("project_name")))
+
+
+@query("SELECT c_custkey AS id, c_name AS label, 'ORGANIZATION' AS type, c_mktsegment AS project_name FROM customer WHERE c_mktsegment = 'BUILDING' AND contains(lower(c_name), '1')")
+def kg_nodes(spark, sf_dir):
+    """Entities of a type and a project whose label holds a text."""
+    entities = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit(graph.ORGANISATION).alias("type"), F.col("c_mktsegment").alias("project_name"))
+    return graph.nodes(entities, graph.ORGANISATION, "BUILDING", "1")
+
+
+#: Suppliers beside the customers of their numbers, and the Jaccard of two lists.
+PLACE_PAIRS_SQL = """
+p AS (SELECT s_suppkey, x.n_name || '路' || s_suppkey || '号' AS a, y.n_name || CASE WHEN c_custkey % 3 = 0 THEN '镇, ' ELSE '街-' END || c_custkey || '号院' AS b
+  FROM supplier JOIN customer ON s_suppkey = c_custkey JOIN nation x ON x.n_nationkey = s_nationkey JOIN nation y ON y.n_nationkey = c_nationkey),
+f AS (SELECT *, list_distinct(regexp_extract_all(a, '[\\p{L}\\p{N}]')) AS ca, list_distinct(regexp_extract_all(b, '[\\p{L}\\p{N}]')) AS cb,
+  list_filter(['路', '街', '号', '弄', '村', '镇', '院', '中心', '大厦', '广场'], lambda w: contains(a, w)) AS pa, list_filter(['路', '街', '号', '弄', '村', '镇', '院', '中心', '大厦', '广场'], lambda w: contains(b, w)) AS pb FROM p),
+j AS (SELECT *, len(list_intersect(ca, cb)) / (len(ca) + len(cb) - len(list_intersect(ca, cb))) AS base, len(list_intersect(pa, pb)) / (len(pa) + len(pb) - len(list_intersect(pa, pb))) AS place FROM f)
+"""
+
+
+def place_pairs(spark, sf_dir):
+    nation = t(spark, sf_dir, "nation")
+    pairs = t(spark, sf_dir, "supplier").join(t(spark, sf_dir, "customer"), F.col("s_suppkey") == F.col("c_custkey"))
+    pairs = pairs.join(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("s_nation")), "s_nationkey")
+    pairs = pairs.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("c_nation")), "c_nationkey")
+    middle = F.when(F.col("c_custkey") % 3 == 0, "镇, ").otherwise("街-")
+    return pairs.withColumn("a", F.concat("s_nation", F.lit("路"), "s_suppkey", F.lit("号"))).withColumn("b", F.concat("c_nation", middle, "c_custkey", F.lit("号院")))
+
+
+@query(f"""
+WITH {PLACE_PAIRS_SQL} SELECT s_suppkey, round(base, 6) AS fuzzy, round(CASE WHEN contains(b, '街') THEN base * 1.2 ELSE base END, 6) AS levels, round(place * 0.6 + base * 0.4, 6) AS meaning FROM j
+""")
+def place_strategies(spark, sf_dir):
+    """Three ways to compare addresses."""
+    found = place_pairs(spark, sf_dir)
+    return found.select("s_suppkey", *[r6(S.place_strategy(F.col("a"), F.col("b"), s)).alias(s) for s in ("fuzzy", "levels", "meaning")])
+
+
+SEGMENT_SQL = "CASE WHEN {a} = {b} THEN 1.0 WHEN contains({a}, {b}) OR contains({b}, {a}) THEN 0.8 ELSE (greatest(length({a}), length({b})) - levenshtein({a}, {b})) / greatest(length({a}), length({b})) END"
+
+
+@query(f"""
+WITH p AS (SELECT s_suppkey, x.n_name AS xc, y.n_name AS yc, r.r_name AS xp, q.r_name AS yp, s_name AS xd, c_name AS yd FROM supplier JOIN customer ON s_suppkey = c_custkey
+  JOIN nation x ON x.n_nationkey = s_nationkey JOIN nation y ON y.n_nationkey = c_nationkey JOIN region r ON r.r_regionkey = x.n_regionkey JOIN region q ON q.r_regionkey = y.n_regionkey),
+s AS (SELECT *, {SEGMENT_SQL.format(a="xp", b="yp")} AS sp, {SEGMENT_SQL.format(a="xc", b="yc")} AS sc, {SEGMENT_SQL.format(a="xd", b="yd")} AS sd FROM p)
+SELECT s_suppkey, CAST(round((sp * 0.2 + sc * 0.3 + sd * 0.2) / 0.7, 6) AS DOUBLE) AS score, CAST(CASE WHEN xp = yp AND xc = yc THEN 0.1 WHEN xp = yp OR xc = yc THEN 0.05 ELSE 0 END + CASE WHEN sd > 0.8 THEN 0.05 ELSE 0 END AS DOUBLE) AS bonus FROM s
+""")
+def address_segments(spark, sf_dir):
+    """Addresses by weighted segments, and what equal parts add."""
+    nation, region = t(spark, sf_dir, "nation"), t(spark, sf_dir, "region")
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("province"), F.col("n_name").alias("city"))
+
+    def side(name, key, label, nation_key):
+        rows = t(spark, sf_dir, name).join(places, F.col(nation_key) == F.col("n_nationkey"))
+        none = F.lit(None).cast("string")
+        parts = F.struct("province", "city", none.alias("district"), F.col(label).alias("detail"))
+        keys = F.struct(F.col("province").alias("number"), F.col("city").alias("street"), none.alias("district"), F.col(label).alias("building"))
+        return rows.select(F.col(key).alias("s_suppkey"), parts.alias(f"{name}_parts"), keys.alias(f"{name}_keys"))
+
+    both = side("supplier", "s_suppkey", "s_name", "s_nationkey").join(side("customer", "c_custkey", "c_name", "c_nationkey"), "s_suppkey")
+    score = S.segmented(F.col("supplier_parts"), F.col("customer_parts"), S.levenshtein)
+    return both.select("s_suppkey", r6(score).alias("score"), r6(S.part_bonus(F.col("supplier_keys"), F.col("customer_keys"), S.levenshtein)).alias("bonus"))
+
+
+@query("""
+WITH x AS (SELECT c_custkey, c_name || '公司' AS org, n_name || '路' || c_custkey || '号' AS place, '138' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS phone FROM customer JOIN nation ON n_nationkey = c_nationkey),
+y AS (SELECT *, '注册: ' || org || ' @ ' || place || ', ' || phone || '; ' || lower(org) AS text FROM x),
+w AS (SELECT *, unnest(list_distinct(regexp_extract_all(text, '[\\p{L}\\p{N}_-]+'))) AS label FROM y),
+k AS (SELECT *, CASE WHEN contains(label, '公司') THEN 'ORGANIZATION' WHEN contains(label, '路') OR contains(label, '号') THEN 'LOCATION' WHEN regexp_matches(label, '^1[3-9][0-9]{9}$') THEN 'IDENTIFIER' END AS type, instr(text, label) AS pos FROM w),
+f AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, type, lower(label) ORDER BY pos) AS rn FROM k WHERE type IS NOT NULL)
+SELECT substr(md5(type || ':' || lower(label)), 1, 16) AS id, type, label, CAST(c_custkey AS VARCHAR) AS source_record_id, pos - 1 AS text_position, trim(substr(text, greatest(pos - 20, 1), least(pos - 1, 20))) AS context_before, trim(substr(text, pos + length(label), 20)) AS context_after FROM f WHERE rn = 1
+""")
+def kg_text_entities(spark, sf_dir):
+    """Entities named in a sentence about each customer."""
+    rows = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    org = F.concat("c_name", F.lit("公司"))
+    phone = F.concat(F.lit("138"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    text = F.concat(F.lit("注册: "), org, F.lit(" @ "), "n_name", F.lit("路"), "c_custkey", F.lit("号, "), phone, F.lit("; "), F.lower(org))
+    return graph.text_entities(rows.select("c_custkey", text.alias("text")), "c_custkey", "text").drop("source_table", "source_column", "confidence")
+
+
+@query("""
+WITH x AS (SELECT c_custkey, c_name || CASE c_custkey % 4 WHEN 0 THEN '公司' WHEN 1 THEN '大学' WHEN 2 THEN '路' ELSE '' END AS label FROM customer)
+SELECT c_custkey, round((0.3 * CASE WHEN contains(label, '大学') THEN 0.9 WHEN contains(label, '公司') THEN 0.8 ELSE 0 END + 0.2 * (contains(label, '公司')::INT + contains(label, '大学')::INT) / 21) / 0.5, 6)::DOUBLE AS organisation,
+  round(CASE WHEN contains(label, '路') THEN 0.6 * 0.8 ELSE 0 END, 6)::DOUBLE AS location FROM x
+""")
+def kg_type_scores(spark, sf_dir):
+    """How well labels fit a type by patterns and synonyms."""
+    four = F.col("c_custkey") % 4
+    label = F.concat("c_name", F.when(four == 0, "公司").when(four == 1, "大学").when(four == 2, "路").otherwise(""))
+    rows = t(spark, sf_dir, "customer").select("c_custkey", label.alias("label"))
+    return rows.select("c_custkey", r6(graph.type_score(F.col("label"), graph.ORGANISATION)).alias("organisation"), r6(graph.type_score(F.col("label"), graph.LOCATION)).alias("location"))

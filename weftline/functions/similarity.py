@@ -40,6 +40,52 @@ def place_jaccard(a: Column, b: Column, places: str = "市区县镇街道路号"
     return F.when(shared, F.least(F.lit(1.0), base * 1.2)).otherwise(base)
 
 
+#: What makes a place of a text.
+STREETS, PLACES = "路街", ("路", "街", "号", "弄", "村", "镇", "院", "中心", "大厦", "广场")
+
+
+def place_strategy(a: Column, b: Column, strategy: str = "fuzzy") -> Column:
+    """Jaccard of letters and digits. "levels": times 1.2 where both have a street; "meaning": 0.4 of it and 0.6 of the
+    Jaccard of place words where both have some."""
+    base = set_jaccard(*(T.characters(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) for x in (a, b)))
+    if strategy == "levels":
+        return F.when(a.rlike(f"[{STREETS}]") & b.rlike(f"[{STREETS}]"), base * 1.2).otherwise(base)
+    if strategy == "meaning":
+        def places(x: Column) -> Column:
+            return F.filter(F.array(*[F.lit(w) for w in PLACES]), lambda w: F.coalesce(x, F.lit("")).contains(w))
+
+        left, right = places(a), places(b)
+        return F.when((F.size(left) > 0) & (F.size(right) > 0), set_jaccard(left, right) * 0.6 + base * 0.4).otherwise(base)
+    return base
+
+
+#: Weights of an address by segments, and what equal parts add.
+SEGMENTS = {"province": 0.2, "city": 0.3, "district": 0.3, "detail": 0.2}
+KEY_PARTS, KEY_BONUS, BUILDING_BONUS, LIKE_BUILDINGS = ("number", "street", "district"), (0.0, 0.05, 0.1, 0.1), 0.05, 0.8
+
+
+def segmented(a: Column, b: Column, score: Callable[[Column, Column], Column], weights: dict[str, float] = SEGMENTS) -> Column:
+    """Of two structs of an address's segments: the weighted mean over segments that either side has."""
+    value, weight = F.lit(0.0), F.lit(0.0)
+    for name, w in weights.items():
+        x, y = (F.coalesce(side[name], F.lit("")) for side in (a, b))
+        there = (x != "") | (y != "")
+        value = value + F.when(there, score(x, y) * w).otherwise(0.0)
+        weight = weight + F.when(there, w).otherwise(0.0)
+    return F.when(weight > 0, value / weight).otherwise(0.0)
+
+
+def part_bonus(a: Column, b: Column, score: Callable[[Column, Column], Column]) -> Column:
+    """Of two structs of an address's parts: what equal key parts and like buildings add to a score."""
+    def part(side: Column, name: str) -> Column:
+        return F.coalesce(F.trim(side[name]), F.lit(""))
+
+    equal = sum(((part(a, k) != "") & (part(a, k) == part(b, k))).cast("int") for k in KEY_PARTS)
+    bonus = F.element_at(F.array(*[F.lit(x) for x in KEY_BONUS]), equal + 1)
+    x, y = part(a, "building"), part(b, "building")
+    return bonus + F.when((x != "") & (y != "") & (score(x, y) > LIKE_BUILDINGS), BUILDING_BONUS).otherwise(0.0)
+
+
 def keyword_jaccard(a: Column, b: Column) -> Column:
     return set_jaccard(T.street_terms(a), T.street_terms(b))
 

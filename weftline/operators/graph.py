@@ -36,6 +36,20 @@ INVERSE, INVERSE_FACTOR = {MANAGED_BY: REPRESENTS, REPRESENTS: MANAGED_BY}, 0.9
 TRANSITIVE = {LOCATED_IN: 0.8, SIMILAR_TO: 0.7}
 FIELD_RELATIONS = ((LOCATED_IN, ("address", "地址")), (MANAGED_BY, ("manager", "负责", "法人")), (CONTACT_OF, ("phone", "contact", "电话")))
 LEAST_CONFIDENCE, VIOLATION = 0.3, 0.5
+TYPE_RULES = {  # pattern, least length, weight
+    ORGANISATION: (("公司|企业|集团|有限|股份|合作社|事务所|中心|机构", 3, 0.8), ("学校|学院|大学|中学|小学|教育", 4, 0.9)),
+    PERSON: ((f"^[{CJK}]{{2,4}}$", 2, 0.9), (r"^[A-Za-z\s]{2,50}$", 2, 0.8)),
+    LOCATION: (("省|市|区|县|街道|路|号|楼|层", 3, 0.8),),
+}
+TYPE_SYNONYMS = {
+    ORGANISATION: (
+        "企业", "公司", "集团", "机构", "单位", "学院", "大学", "中学", "小学", "学校", "教育机构",
+        "医疗机构", "诊所", "卫生院", "医院", "卫生所", "机关", "部门", "委员会", "政府", "行政机构",
+    ),
+    PERSON: ("管理者", "负责人", "主管", "经理", "领导", "法定代表人", "法人代表", "法人", "代表人", "负责人", "接洽人", "联系人", "对接人"),
+    LOCATION: ("位置", "所在地", "地址", "住址", "场所", "注册地址", "登记地址", "注册地", "登记地"),
+}
+PATTERN_WEIGHT, SYNONYM_WEIGHT = 0.3, 0.2
 RELATED_HINTS = {ORGANISATION: ("地址", "电话", "法人", "代表", "联系", "注册", "成立", "规模"), PERSON: ("电话", "邮箱", "职位", "部门", "年龄", "性别"), LOCATION: ("邮编", "区域", "经度", "纬度", "行政区")}
 # --------------------------------------------------------------------------------------------------------
 
@@ -89,6 +103,56 @@ def entity_confidence(x: Column, kind: str) -> Column:
     return F.least(c, F.lit(1.0))
 
 
+def type_score(x: Column, kind: str) -> Column:
+    """How well a text fits a type: the heaviest pattern that it has and is long enough for, and the share of the type's
+    synonyms in it, by their weights. The parts that need a tagger or samples are left out and the weights renormalised."""
+    hits = [F.when((F.length(x) >= least) & x.rlike(p), weight).otherwise(0.0) for p, least, weight in TYPE_RULES.get(kind, ())]
+    words = TYPE_SYNONYMS.get(kind, ())
+    pattern = F.greatest(F.lit(0.0), *hits) if hits else F.lit(0.0)
+    synonyms = _number_of(x, words) / max(len(words), 1)
+    return (PATTERN_WEIGHT * pattern + SYNONYM_WEIGHT * synonyms) / (PATTERN_WEIGHT + SYNONYM_WEIGHT)
+
+
+def text_entities(rows: DataFrame, record: str, column: str, name: str = "text_extraction", around: int = 20) -> DataFrame:
+    """Entities named in texts: words that their own letters tell the type of, each once for a record and label in any
+    case, with its first place in the text and so many characters on both sides. Null and empty texts name none; texts of
+    equal ids count as one record. Words are runs of letters, digits, _ and -, as there is no tagger."""
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1)))
+    each = rows.select(F.col(record).cast("string").alias("source_record_id"), F.col(column).alias("text"), F.explode(words).alias("label"))
+    label = F.col("label")
+    identifier = reduce(lambda a, b: a | b, [label.rlike(p) for p in IDENTIFIERS])
+    kinds = {ORGANISATION: _has_any(label, KEYWORDS[ORGANISATION]), LOCATION: _has_any(label, KEYWORDS[LOCATION]), IDENTIFIER: identifier}
+
+    def by_type(value: Callable[[str], Column]) -> Column:
+        return reduce(lambda c, k: c.when(F.col("type") == k, value(k)), kinds, F)
+
+    kind = reduce(lambda c, k: c.when(kinds[k], F.lit(k)), kinds, F)
+    typed = each.withColumn("type", kind).filter("type IS NOT NULL").filter(by_type(lambda k: valid_entity(label, k)))
+    at = F.instr("text", label)
+    before = F.trim(F.substr("text", F.greatest(at - around, F.lit(1)), F.least(at - 1, F.lit(around))))
+    after = F.trim(F.substr("text", at + F.length(label), F.lit(around)))
+    found = F.struct(at.alias("at"), label, by_type(lambda k: entity_confidence(label, k)).alias("confidence"), before.alias("before"), after.alias("after"))
+    first = typed.select("source_record_id", entity_id(F.col("type"), label).alias("id"), "type", found.alias("found")).groupBy("source_record_id", "id", "type").agg(F.min("found").alias("found"))
+    return first.select(
+        "id", "type", F.col("found.label").alias("label"), F.lit(name).alias("source_table"), F.lit(column).alias("source_column"), "source_record_id", F.col("found.confidence").alias("confidence"),
+        (F.col("found.at") - 1).alias("text_position"), F.col("found.before").alias("context_before"), F.col("found.after").alias("context_after"),
+    )
+
+
+def projects(entities: DataFrame) -> DataFrame:
+    """Entities of each named project."""
+    return entities.filter(filled(F.col("project_name"))).groupBy("project_name").agg(F.count("*").alias("entity_count"))
+
+
+def nodes(entities: DataFrame, kind: str | None = None, project: str | None = None, words: str | None = None) -> DataFrame:
+    """Entities of a type and a project whose label holds a text in any case."""
+    wanted = {"type": kind, "project_name": project}
+    for column, value in wanted.items():
+        if value is not None:
+            entities = entities.filter(F.col(column) == value)
+    return entities if words is None else entities.filter(F.lower("label").contains(words.lower()))
+
+
 def property_key(name: str) -> str:
     import re
 

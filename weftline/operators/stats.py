@@ -182,6 +182,25 @@ def association_stats(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("groups"), held.alias("with_records"), rate.alias("rate"), F.avg("members").alias("avg_members"), F.avg("quality").alias("avg_quality"))
 
 
+def visit_history(rows: DataFrame, key: str, date: str) -> DataFrame:
+    """Per key: its rows, first and last date, and dates per distinct date."""
+    dates = F.count(date) / F.greatest(F.countDistinct(date), F.lit(1))
+    return rows.groupBy(key).agg(F.count("*").alias("visits"), F.min(date).alias("earliest"), F.max(date).alias("latest"), dates.alias("frequency"))
+
+
+def task_stats(tasks: DataFrame, seconds: str, candidates: str) -> DataFrame:
+    """Over all tasks: how many, their mean time, candidates in all and on average."""
+    return tasks.agg(F.count("*").alias("tasks"), F.avg(seconds).alias("avg_seconds"), F.sum(candidates).alias("candidates"), F.avg(candidates).alias("avg_candidates"))
+
+
+def decision_stats(tasks: DataFrame, decision: str, seconds: str, before: str, after: str, decisions: tuple[str, ...] = ("match", "suspicious", "reject")) -> DataFrame:
+    """Over all decided tasks: how many, the number and percentage of each decision, mean time and scores."""
+    each = [F.count_if(F.col(decision) == d) for d in decisions]
+    shares = [(100 * ratio(n, F.count("*"))).alias(f"{d}_rate") for n, d in zip(each, decisions, strict=True)]
+    means = [F.avg(c).alias(f"avg_{c}") for c in (seconds, before, after)]
+    return tasks.agg(F.count("*").alias("tasks"), *[n.alias(d) for n, d in zip(each, decisions, strict=True)], *shares, *means)
+
+
 def multi_match_stats(summary: DataFrame) -> DataFrame:
     """Over per-source match numbers: sources, matched ones, records, mean matches, rates."""
     matched = F.count_if(F.col("total_matches") > 0)
