@@ -20,7 +20,7 @@ LENGTH = 200
 ANCHOR = 40
 #: Suffixes that meet in one suffix array, at about 600 bytes each; those of a more frequent anchor are divided
 #: by longer and longer common surroundings until so few agree, or until all agree on LENGTH bytes.
-MEET = 2_000
+MEET = 20_000
 _PIECE = 1 << 19
 
 
