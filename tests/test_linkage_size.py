@@ -70,3 +70,23 @@ def test_rank_joins_classes(spark, one_code):
     found = QUERIES["exact_join_rank"](spark, one_code)
     assert most(found, "numOutputRows", "Join") < 10_000  # 600,000 before
     assert {(r.tgt, r.duplicate_count) for r in found.collect()} == {(1_000_800, 2000), (1_001_700, 2000)} and found.count() == 300  # longer ids score more
+
+
+@pytest.mark.parametrize("chunk", [linkage.CHUNK, 3])
+def test_matches_by_targets(spark, monkeypatch, chunk):
+    monkeypatch.setattr(linkage, "CHUNK", chunk)
+    source, target = odd_registries(spark, 2)
+    columns = ["src", "tgt", "match_key", "date", "is_primary", "total_matches", "latest", "earliest"]
+    for rows in (source, source.dropDuplicates(["src"]).localCheckpoint()):
+        expected = linkage.all_matches(linkage.code_join(rows, target), linkage.selection_score(), F.col("t_date"))
+        found = linkage.code_matches(rows, target)
+        assert sorted(map(repr, found.select(*columns).collect())) == sorted(map(repr, expected.select(*columns).collect()))
+        ranks = [sorted((r.src, r.match_rank) for r in x.collect()) for x in (found, expected)]
+        assert ranks[0] == ranks[1] and len(ranks[0]) > 100
+
+
+def test_all_shuffles_no_pairs(spark, one_code):
+    found = QUERIES["exact_join_all"](spark, one_code)
+    assert most(found, "shuffleRecordsWritten") <= 2_000  # 600,000 before
+    assert found.count() == 600_000 and found.filter("is_primary").count() == 300
+    assert {(r.src, r.match_rank) for r in found.filter("tgt = 0").collect()} == {(700 * i, 1961) for i in range(300)}
