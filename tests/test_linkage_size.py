@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.catalog import QUERIES
-from weftline.operators import linkage
+from weftline.functions import tokens as T
+from weftline.operators import blocking, linkage, tiles
 
 CODE = "9131000012345678"
 
@@ -90,3 +93,45 @@ def test_all_shuffles_no_pairs(spark, one_code):
     assert most(found, "shuffleRecordsWritten") <= 2_000  # 600,000 before
     assert found.count() == 600_000 and found.filter("is_primary").count() == 300
     assert {(r.src, r.match_rank) for r in found.filter("tgt = 0").collect()} == {(700 * i, 1961) for i in range(300)}
+
+
+def test_tiled_join(spark, monkeypatch):
+    pick = random.Random(3)
+    names = ["".join(pick.choice("abc ") for _ in range(pick.randrange(0, 16))) for _ in range(90)] + ["", None, "ab", "zzzzz", "abc" * 40]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, name string")
+    source, target = (rows.filter(f"id % 5 {c}").select(F.col("id").alias(i), F.col("name").alias(n)) for c, i, n in (("> 1", "src", "s_name"), ("< 3", "tgt", "t_name")))
+    grams = [T.ngrams(F.col(n), 2) for n in ("s_name", "t_name")]
+    for tile in (100, 7):
+        monkeypatch.setattr(tiles, "TILE", tile)
+        for least in (0.1, 0.5, 1.0):
+            expected = blocking.token_join(source.select("src", grams[0].alias("tokens")), target.select("tgt", grams[1].alias("tokens")), least)
+            found = tiles.tiled_join(source, target, tuple(grams), least)
+            assert sorted((r.src, r.tgt, r.hits, r.score) for r in found.collect()) == sorted((r.src, r.tgt, r.hits, r.score) for r in expected.collect()) != []
+    by_name = {r.src: r.s_name for r in found.collect()}
+    assert by_name and all(names[i] == n for i, n in by_name.items())
+    assert tiles.tiled_join(source, target.limit(0), tuple(grams), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("tested", [1 << 16, 3])
+def test_tiles_in_batches(monkeypatch, tested):
+    """Candidates tested a few at a time, against sets."""
+    monkeypatch.setattr(tiles, "TESTED", tested)
+    pick = random.Random(4)
+    s, t = ([set(pick.sample("abcdefghij", pick.randrange(0, 8))) for _ in range(n)] for n in (40, 60))
+
+    def tile(rows):
+        one, words = tiles._Tile.__new__(tiles._Tile), sorted(set().union(*rows))
+        one.id, one.name, one.token = pa.array(range(len(rows))), pa.array([str(sorted(r)) for r in rows]), pa.array(words, pa.string())
+        one.n, one.code = np.array([len(r) for r in rows]), np.array([words.index(w) for r in rows for w in sorted(r)], np.int64)
+        one.start = np.cumsum(one.n) - one.n
+        return one
+
+    found = sorted((a, b, h) for x in tiles._pairs(tile(s), tile(t), 0.5) for a, b, h in zip(x["src"].to_pylist(), x["tgt"].to_pylist(), x["hits"].to_pylist(), strict=True))
+    assert found == sorted((i, j, len(a & b)) for i, a in enumerate(s) for j, b in enumerate(t) if a & b and 2 * len(a & b) >= len(a))
+
+
+def test_labels_shuffle_no_hits(spark, tmp_path):
+    spark.range(2000).select(F.col("id").alias("p_partkey"), F.lit("large widget").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["link_part_labels"](spark, str(tmp_path))
+    assert most(found, "shuffleRecordsWritten") <= 2_000
+    assert found.count() == 1000 and {r.tgt - r.src for r in found.filter("score > 0.9").collect()} == {1}
