@@ -347,6 +347,28 @@ def test_packing(spark, scratch, chunk):
     assert packing.pack_documents(d.limit(0), scratch).count() == 0
 
 
+def test_tokens_of_a_long_text_are_held_in_parts(spark, monkeypatch):
+    if not Path(packing.VOCABULARY).exists():
+        pytest.skip("no vocabulary here")
+    import tracemalloc
+
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(r.choices(words, k=500_000))
+    vocabulary = Path(packing.VOCABULARY).read_bytes()
+    docs = spark.createDataFrame([(7, "")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)  # what a task does, run here
+    run = packing.sequences(docs, vocabulary)
+    list(run(iter([pa.record_batch({"doc_id": pa.array([0]), "text": pa.array(["a"])})])))  # reads the vocabulary
+    tracemalloc.start()
+    n = most = 0
+    for batch in run(iter([pa.record_batch({"doc_id": pa.array([7]), "text": pa.array([text])})])):
+        assert batch.column("start_token").to_pylist() == list(range(n, n + len(batch) * packing.MAX_TOKENS, packing.MAX_TOKENS))
+        n, most = n + len(batch) * packing.MAX_TOKENS, max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert n > 1_500_000 and most < 8 * len(text)
+
+
 def test_packed_keeps_columns_of_clashing_names(spark):
     seqs = spark.createDataFrame([(i, 0, 1 + i % 5, "own", "own") for i in range(30)], "doc_id long, segment long, n_tokens long, Slot string, batch string")
     found = packing.packed(seqs, buckets=2, max_tokens=8)

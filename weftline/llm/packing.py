@@ -34,20 +34,21 @@ _HELD = 1 << 20
 
 
 @cache
-def _encoder(vocabulary: bytes, pattern: str) -> Callable[[str], list[int]]:
+def _encoder(vocabulary: bytes, pattern: str) -> Callable[[str], Iterator[np.ndarray]]:
     """Text to the ids of its tokens and one end, the id after the last; once for each worker. Texts are read in pieces of
-    _PIECE characters, each with tokens of its own."""
+    _PIECE characters, each with tokens of its own; a piece's ids come at once, the end with the last one's."""
     import tiktoken
 
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
     encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     end = max(ranks.values()) + 1
 
-    def encode(text: str) -> list[int]:
-        ids = []
-        for i in range(0, len(text), _PIECE):
-            ids += encoding.encode_ordinary(text[i : i + _PIECE])
-        return [*ids, end]
+    def encode(text: str) -> Iterator[np.ndarray]:
+        for i in range(0, max(1, len(text)), _PIECE):
+            ids = encoding.encode_ordinary(text[i : i + _PIECE])
+            if i + _PIECE >= len(text):
+                ids.append(end)
+            yield np.array(ids, np.int32)
 
     return encode
 
@@ -91,28 +92,35 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int
 
 def sequences(docs: DataFrame, vocabulary: bytes, max_tokens: int = MAX_TOKENS, pattern: str = PATTERN) -> DataFrame:
     """doc_id and text -> doc_id, segment, start_token, n_tokens, tokens: the ids of a whole text's tokens and one end, a
-    row for each max_tokens of them and the rest. The ids of a document in order decode to its bytes."""
+    row for each max_tokens of them and the rest. The ids of a document in order decode to its bytes. Of a text's ids a
+    task holds about _HELD at once, as 4 bytes each, however long the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary, pattern)
         for batch in batches:
-            rows, held = [], 0
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = encode(text or "")
-                for segment, at in enumerate(range(0, len(ids), max_tokens)):
-                    own = ids[at : at + max_tokens]
-                    rows.append((i, segment, at, len(own), own))
-                    held += len(own)
-                if held > _HELD:
-                    yield made(batch, rows)
-                    rows, held = [], 0
+            rows, parts, held = [], [], 0
+            for i, text in enumerate(batch.column("text")):
+                at, open_ = 0, np.zeros(0, np.int32)  # ids that have left the text's open sequence, and those in it
+                for ids in encode(text.as_py() or ""):
+                    open_ = np.concatenate([open_, ids])
+                    while len(open_) >= max_tokens:
+                        rows.append((i, at // max_tokens, at, max_tokens))
+                        parts.append(open_[:max_tokens])
+                        at, open_, held = at + max_tokens, open_[max_tokens:], held + max_tokens
+                    if held > _HELD:
+                        yield made(batch, rows, parts)
+                        rows, parts, held = [], [], 0
+                if len(open_):
+                    rows.append((i, at // max_tokens, at, len(open_)))
+                    parts.append(open_)
+                    held += len(open_)
             if rows:
-                yield made(batch, rows)
+                yield made(batch, rows, parts)
 
-    def made(batch, rows):
-        at, *cols = zip(*rows, strict=True)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(at))} | {c: pa.array(v, t) for c, v, t in zip(("segment", "start_token", "n_tokens", "tokens"), cols, types, strict=True)})
+    def made(batch, rows, parts):
+        at, segment, start, n = np.array(rows, np.int64).T
+        tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(parts)))
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(at)), "segment": segment, "start_token": start, "n_tokens": n, "tokens": tokens})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, segment long, start_token long, n_tokens long, tokens array<int>")
