@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -244,3 +245,34 @@ def test_components_of_paths_and_stars(spark, scratch):
     found = {r.node: r.root for r in components(frame, scratch).collect()}
     assert all(found[i] == 0 for i in range(301))
     assert all(found[1000 + i] == 1000 for i in range(200))
+
+
+@pytest.mark.parametrize("whole", [0, 1 << 19])
+def test_components_in_one_task_and_in_rounds(spark, scratch, whole):
+    r = random.Random(5)
+    edges = [(r.randrange(-400, 400) << 40, r.randrange(-400, 400) << 40) for _ in range(500)] + [(7 << 50, 7 << 50)]
+    f = Forest()
+    for a, b in edges:
+        f.join(a, b)
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    rows = components(frame, scratch, whole=whole).collect()
+    assert Counter((x.node, x.root) for x in rows) == Counter((x, f.find(x)) for x in {e for a, b in edges if a != b for e in (a, b)})
+    assert components(frame.filter("a > b and a < b"), scratch, "none", whole=whole).count() == 0
+
+
+def test_small_tables_take_few_files(spark, docs, scratch):
+    rows = near_texts()
+    held = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = simhash.simhash_groups(docs(rows), scratch).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    fps = [plain_fingerprint(t) for _, t in rows]
+    assert Counter((x.doc_id, x.component_id) for x in found) == Counter((i, c) for (i, _), c in zip(rows, expected_components(rows, fps), strict=True))
+    files = Counter(x.parent.name for x in Path(scratch.root.removeprefix("file://")).glob("*/part-*"))
+    assert files.pop("fingerprints") <= 3
+    assert set(files.values()) == {1} and len(files) == 3

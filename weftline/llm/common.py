@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 _LOCAL: dict[str, str] = {}
+#: Short rows that a file of a kept table has at least, where their number is known.
+_FILE = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +73,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: at most so many short rows; they then go to few files, whatever the number of shuffle partitions."""
+        if rows is not None:
+            df = df.coalesce(1 + rows // _FILE)
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -124,14 +124,15 @@ def _close(radius: int):
     return links
 
 
-def near_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, parts: int = PARTS, tile: int = TILE) -> DataFrame:
+def near_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, parts: int = PARTS, tile: int = TILE, rows: int | None = None) -> DataFrame:
     """Distinct fingerprints (column fp) -> edges (a, b) that span, within each compared pair of tiles,
     the components of the graph of all pairs at most radius bits apart. Every such pair is compared
     by exclusive-or and bit count.
 
     A difference of at most radius bits changes the population counts of the parts by at most radius
     in sum, so a tile only meets tiles whose counts are that close; all other tile pairs are
-    skipped. There are at most (64 / parts + 1) ** parts signatures, 83,521 here, whatever the input."""
+    skipped. There are at most (64 / parts + 1) ** parts signatures, 83,521 here, whatever the input.
+    rows: at most so many fingerprints, where that is known."""
     width = 64 // parts
     base = [(width + 1) ** (parts - 1 - i) for i in range(parts)]
     steps = _steps(radius, parts)
@@ -149,16 +150,16 @@ def near_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, parts: in
                 fits &= (d + s >= 0) & (d + s <= width)
             yield np.where(fits, sig + sum(s * b for s, b in zip(step, base, strict=True)), -1)
 
-    with_sig = scratch.keep(fps.select("fp").mapInArrow(signed, "fp long, spot long, sig long"), "signatures")
+    with_sig = scratch.keep(fps.select("fp").mapInArrow(signed, "fp long, spot long, sig long"), "signatures", rows)
     return tiled(with_sig, signature_sizes(with_sig), close, _close(radius), "a long, b long", tile).filter("a <> b")
 
 
 def _classes(hashed: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, fp) -> one row per fingerprint: key, rep (its smallest id), root (its component)."""
-    classes = hashed.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(near_links(classes, scratch), scratch)
+    classes, most = hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")), hashed.count()
+    roots = components(near_links(classes, scratch, rows=most), scratch)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select(F.col("fp").alias("key"), "rep", F.coalesce("root", "fp").alias("root"))
-    return scratch.keep(rooted, "roots")
+    return scratch.keep(rooted, "roots", most)
 
 
 def simhash_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text") -> DataFrame:
