@@ -95,6 +95,24 @@ def test_all_shuffles_no_pairs(spark, one_code):
     assert {(r.src, r.match_rank) for r in found.filter("tgt = 0").collect()} == {(700 * i, 1961) for i in range(300)}
 
 
+def test_all_writes_runs(spark, one_code, tmp_path):
+    """What a file of the pairs takes: targets one after the other, each beside a block's sources in turn."""
+    QUERIES["exact_join_all"](spark, one_code).write.parquet(f"{tmp_path}/pairs")
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 0.5 * 600_000
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 600_000
+
+
+@pytest.mark.parametrize("block", [1, 7])
+def test_matches_by_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(linkage, "BLOCK", block)
+    monkeypatch.setattr(linkage, "CHUNK", 5)
+    source, target = odd_registries(spark, 2)
+    rows = source.dropDuplicates(["src"]).localCheckpoint()
+    columns = ["src", "tgt", "match_key", "date", "is_primary", "total_matches", "latest", "earliest"]
+    expected = linkage.all_matches(linkage.code_join(rows, target), linkage.selection_score(), F.col("t_date"))
+    assert sorted(map(repr, linkage.code_matches(rows, target).select(*columns).collect())) == sorted(map(repr, expected.select(*columns).collect())) != []
+
+
 def test_tiled_join(spark, monkeypatch):
     pick = random.Random(3)
     names = ["".join(pick.choice("abc ") for _ in range(pick.randrange(0, 16))) for _ in range(90)] + ["", None, "ab", "zzzzz", "abc" * 40]
